@@ -25,5 +25,6 @@ def load_all() -> None:
     from wayfarer.plans import (  # noqa: F401
         q_merge,
         q_quality,
+        q_serve,
         q_summary,
     )

@@ -63,9 +63,9 @@ LINK_EXCLUDE = ["/tag/", "/category/", "/page/", "facebook.com", "instagram.com"
 # HTML elements whose whole subtree is dropped before text extraction.
 HTML_DROP_TAGS = ["script", "style", "nav", "footer", "header", "aside", "form"]
 
-# Categories offered as threshold filters in the planner (service and
-# accessibility are not offered).
-THRESHOLD_CATEGORIES = CATEGORIES[:8]
+# Categories offered (in this display order) as filters and labels in the
+# planner; service and accessibility are not offered.
+THRESHOLD_CATEGORIES = ["nature", "adventure", "culture", "food", "romance", "family", "cost", "relaxation"]
 # --- end of fixed values ---
 
 TEXT_META = ["region", "place_type", "google_maps_url", "blog_source"]
