@@ -35,7 +35,13 @@ def round_half_even_1(x: Column) -> Column:
 
 
 def first_distinct(
-    df: DataFrame, keys: list[str], col: str, order_cols: list[str], n: int, sep: str = "\n\n", out: str | None = None
+    df: DataFrame,
+    keys: list[str],
+    col: str,
+    order_cols: list[str],
+    n: int,
+    sep: str | None = "\n\n",
+    out: str | None = None,
 ) -> DataFrame:
     """First ``n`` distinct (stripped, non-NULL) values per group in arrival order, joined by ``sep``.
 
@@ -53,8 +59,5 @@ def first_distinct(
     )
     w = Window.partitionBy(*keys).orderBy("_s")
     top = d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    return top.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_s", "_v"))), lambda x: x["_v"]), sep
-        ).alias(out)
-    )
+    arr = F.transform(F.array_sort(F.collect_list(F.struct("_s", "_v"))), lambda x: x["_v"])
+    return top.groupBy(*keys).agg((F.array_join(arr, sep) if sep is not None else arr).alias(out))

@@ -26,6 +26,7 @@ def load_all() -> None:
         q_merge,
         q_quality,
         q_resolve,
+        q_scoring,
         q_serve,
         q_summary,
     )
