@@ -29,4 +29,5 @@ def load_all() -> None:
         q_scoring,
         q_serve,
         q_summary,
+        q_training,
     )
