@@ -25,6 +25,7 @@ def load_all() -> None:
     from wayfarer.plans import (  # noqa: F401
         q_itinerary,
         q_merge,
+        q_pages,
         q_quality,
         q_resolve,
         q_scoring,
