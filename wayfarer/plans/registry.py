@@ -23,6 +23,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     # importing the modules registers their queries
     from wayfarer.plans import (  # noqa: F401
+        q_io,
         q_itinerary,
         q_merge,
         q_pages,
