@@ -26,11 +26,13 @@ def load_all() -> None:
         q_io,
         q_itinerary,
         q_merge,
+        q_misc,
         q_pages,
         q_quality,
         q_resolve,
         q_scoring,
         q_serve,
+        q_stream,
         q_summary,
         q_training,
     )
