@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions.text import strip
 from wayfarer.operators.quality import normalize_headers
+from wayfarer.operators.summary import place_summary
 from wayfarer.plans.places import place_rows
 from wayfarer.plans.q_summary import AS_OF, summary_of_p
 from wayfarer.plans.registry import query
@@ -140,3 +141,31 @@ def q_review_admission(spark, sf_dir):
     log = shared_path(spark, "review-log")
     append_reviews(r.where(F.col("admitted") == 1), log)
     return r.select("conv_id", "turn", "place", "country", "region", "admitted")
+
+
+@query("rebuild_places")
+def q_rebuild_places(spark, sf_dir):
+    """Full rebuild over P: clean, resolve names, de-duplicate
+    descriptions, metadata, score, summarise."""
+    from wayfarer.plans.rebuild import full_rebuild
+
+    p = place_rows(spark, sf_dir).drop(*["romance", "family", "cost", "nature", "adventure", "culture", "food", "relaxation", "service", "accessibility"])
+    from wayfarer.plans.places import ORDER
+
+    s = full_rebuild(p, ORDER, as_of=AS_OF)
+    return s.withColumn("last_updated", F.date_format("last_updated", "yyyy-MM-dd"))
+
+
+@query("incremental_update")
+def q_incremental_update(spark, sf_dir):
+    """Incremental update: documents as new rows (legacy ``text``
+    column, noise) normalised, scored where incomplete, merged into the
+    document-place catalogue, touched countries written."""
+    from wayfarer.plans.docs import docs_new_data
+    from wayfarer.plans.rebuild import incremental_update
+    from wayfarer.plans.q_scoring import docs_places
+
+    base = place_summary(docs_places(spark, sf_dir).where(F.col("doc_id") % 2 == 0), ["doc_id"], as_of=AS_OF)
+    new = docs_new_data(spark, sf_dir).where(F.col("doc_id") % 2 == 1)
+    merged, stats = incremental_update(new, base, ["doc_id"], as_of="2024-07-01", output_path=shared_path(spark, "update-out"))
+    return stats
