@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.operators.merge import merge_catalog, merge_stats
 from wayfarer.operators.quality import drop_invalid_places, normalize_new_data
-from wayfarer.operators.resolve import dedupe_descriptions, resolve_names
+from wayfarer.operators.resolve import _cut, dedupe_descriptions, resolve_names
 from wayfarer.operators.scoring import keyword_scorer, overlay_scores, rebuild_scores
 from wayfarer.operators.summary import first_nonempty_metadata, place_summary
 from wayfarer.sources.csv import with_folder_country, with_maps_alias
@@ -29,9 +29,12 @@ def aggregate_places(raw: DataFrame, order_cols: list[str]) -> DataFrame:
     raw = with_maps_alias(raw)
     if "_folder" in raw.columns:
         raw = with_folder_country(raw)
-    rows = drop_invalid_places(raw).withColumn("country", F.trim(F.col("country").cast("string")))
+    # lineage cuts (tables in the shared checkpoint folder): the cleaned rows and
+    # the resolved rows each feed several branches; recomputing them is costlier
+    # than one write each
+    rows = _cut(drop_invalid_places(raw).withColumn("country", F.trim(F.col("country").cast("string"))))
     resolved = resolve_names(rows, ["country"], "place", order_cols, out_col="_resolved")
-    resolved = resolved.withColumn("place", F.col("_resolved")).drop("_resolved")
+    resolved = _cut(resolved.withColumn("place", F.col("_resolved")).drop("_resolved"))
     meta = first_nonempty_metadata(resolved, order_cols)
     kept = dedupe_descriptions(resolved, ["country", "place"], "description", order_cols).where("kept")
     out = kept.select("country", "place", "description", *order_cols).join(meta, ["country", "place"])
