@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wayfarer.functions.similarity import lcs_expr, lcs_len, token_sort_key
+from wayfarer.functions.similarity import lcs_at_least, lcs_expr, lcs_len, token_sort_key
 from wayfarer.operators.resolve import dedupe_descriptions, resolve_names, similar_name_pairs
 
 
@@ -27,6 +27,12 @@ def test_bit_parallel_lcs_matches_dp(a, b):
     assert lcs_len(a, b) == lcs_dp(a, b)
 
 
+@given(st.text(alphabet="ab c", max_size=90), st.text(alphabet="ab c", max_size=90), st.integers(0, 95))
+@settings(max_examples=300, deadline=None)
+def test_early_exit_lcs_test_is_exact(a, b, need):
+    assert lcs_at_least(a, b, need, step=4) == (lcs_dp(a, b) >= need)
+
+
 def test_lcs_expression_matches_dp(spark):
     rng = random.Random(7)
     pairs = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(60)]

@@ -73,6 +73,36 @@ def lcs_len(a: str, b: str) -> int:
     return len(a) - bin(v).count("1")
 
 
+def lcs_at_least(a: str, b: str, need: int, step: int = 32) -> bool:
+    """Exact test LCS(a, b) >= need with early exit: every ``step`` characters
+    the LCS so far either already reaches ``need`` (success) or cannot reach
+    it with the characters left (failure)."""
+    if need <= 0:
+        return True
+    if not a or not b:
+        return False
+    if len(a) < len(b):
+        a, b = b, a
+    la, lb = len(a), len(b)
+    if need > lb:
+        return False
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | (1 << i)
+    full = (1 << la) - 1
+    v = full
+    for j, ch in enumerate(b, 1):
+        u = v & masks.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+        if j % step == 0:
+            cur = la - v.bit_count()
+            if cur >= need:
+                return True
+            if cur + (lb - j) < need:
+                return False
+    return la - v.bit_count() >= need
+
+
 def bag_distance(a: str, b: str) -> int:
     """Character-multiset symmetric difference: a lower bound of the indel distance."""
     from collections import Counter
@@ -109,10 +139,13 @@ def make_match_udf(slack: int, strict: bool):
             if abs(len(x) - len(y)) > dmax or bag_distance(x, y) > dmax:
                 out.append(False)
                 continue
-            out.append(n - 2 * lcs_len(x, y) <= dmax)
+            # d = n - 2*LCS <= dmax  <=>  LCS >= ceil((n - dmax) / 2)
+            out.append(lcs_at_least(x, y, (n - dmax + 1) // 2))
         return pd.Series(out, dtype=bool)
 
-    return _match
+    # non-deterministic only to stop the optimizer from pushing this costly
+    # filter below the explicit repartition that spreads it over every core
+    return _match.asNondeterministic()
 
 
 def ratio_from_lcs(lcs, la, lb) -> Column:

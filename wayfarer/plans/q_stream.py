@@ -74,7 +74,7 @@ def q_stream_running_mean(spark, sf_dir):
     """Streaming (sum, count) state per place over every event file."""
     schema, drop = _drop_folder(spark, sf_dir)
     out = shared_path(spark, "running-mean")
-    running_means(spark, file_stream(spark, drop, schema, max_files=1), out)
+    running_means(spark, file_stream(spark, drop, schema, max_files=10), out)
     m = mean_view(spark.read.parquet(out))
     return m.select("country", "place", "n", *[F.round(c, 4).alias(c) for c in CATEGORIES])
 
@@ -83,7 +83,7 @@ def q_stream_running_mean(spark, sf_dir):
 def q_stream_seen(spark, sf_dir):
     """A stream of 'URLs' (event type per country) where only unseen ones pass."""
     schema, drop = _drop_folder(spark, sf_dir)
-    s = file_stream(spark, drop, schema, max_files=1).select(
+    s = file_stream(spark, drop, schema, max_files=10).select(
         F.concat(F.col("place"), F.lit(":"), F.substring("country", 2, 10)).alias("source_url"), "event_id"
     )
     out = shared_path(spark, "seen")

@@ -24,6 +24,8 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
+    # streaming state in RocksDB (off-heap, spills to local disk, checkpointed)
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -94,3 +96,10 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     spark.sparkContext.addPyFile(zpath)
     _SHIPPED.add(app)
+
+
+def cpu_parallelism(spark: SparkSession, factor: int = 2) -> int:
+    """Partitions for CPU-heavy Python stages: AQE sizes partitions by bytes,
+    which packs small-but-expensive rows (text pairs for an exact LCS) into a
+    few tasks; an explicit-count repartition keeps every core busy."""
+    return max(1, spark.sparkContext.defaultParallelism * factor)
