@@ -132,3 +132,17 @@ def quality_report(df: DataFrame, key: str = "country", required: list[str] = ["
         "placeholder_descriptions",
         F.lit(2 if miss else 0).alias("status"),
     )
+
+
+def drop_duplicate_columns(df: DataFrame, drop: list[str] = ()) -> DataFrame:
+    """Drop the given columns, then keep only the first of any duplicate
+    column names (Spark allows duplicates after joins or CSV reads)."""
+    seen, keep = set(), []
+    for i, c in enumerate(df.columns):
+        if c in drop or c in seen:
+            continue
+        seen.add(c)
+        keep.append(i)
+    cols = df.columns
+    renamed = df.toDF(*[f"_c{i}" for i in range(len(cols))])
+    return renamed.select(*[F.col(f"_c{i}").alias(cols[i]) for i in keep])

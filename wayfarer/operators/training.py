@@ -23,14 +23,36 @@ LABEL_KEYS = [c.capitalize() for c in CATEGORIES]  # distribution keys are capit
 def ordinal_ids(df: DataFrame, order_cols: list[str], fmt: str = "th-r-%05d", col: str = "review_id") -> DataFrame:
     """Zero-based position in ``order_cols`` order, formatted.
 
-    Distributed: range-partitioned sort + per-partition offsets
-    (``zipWithIndex``), never a single-task global window."""
-    spark = df.sparkSession
-    ordered = df.orderBy(*order_cols)
-    schema = T.StructType(ordered.schema.fields + [T.StructField("_idx", T.LongType())])
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1]))
-    out = spark.createDataFrame(rdd, schema)
-    return out.withColumn(col, F.format_string(fmt, F.col("_idx"))).drop("_idx")
+    JVM-side and distributed: range-partition + sort within partitions; the
+    index inside a partition comes from ``monotonically_increasing_id`` (its low
+    33 bits), and per-partition row counts (one row per partition - a proven
+    bound, broadcast) give each partition's offset."""
+    from pyspark.sql import Window
+
+    from wayfarer.session import cpu_parallelism
+
+    n = cpu_parallelism(df.sparkSession)
+    s = (
+        df.repartitionByRange(n, *order_cols)
+        .sortWithinPartitions(*order_cols)
+        .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn("_pid", F.shiftright("_mid", 33))
+        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    )
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    out = s.join(F.broadcast(offsets.select("_pid", "_base")), "_pid")
+    return out.withColumn(col, F.format_string(fmt, F.col("_base") + F.col("_pos"))).drop("_mid", "_pid", "_pos", "_base")
+
+
+def label_with_scorer(df: DataFrame, factory, text_col: str = "review") -> DataFrame:
+    """A pluggable labeller fills ``distribution`` (ten integer scores);
+    a failed row gets all zeros, as the source's labeller does."""
+    from wayfarer.operators.scoring import raw_scores, rescale
+
+    r = raw_scores(df, factory, text_col, on_error="zero")
+    return r.withColumn("distribution", distribution_map({c: rescale(c) for c in CATEGORIES})).drop(*CATEGORIES, "score_error")
 
 
 def distribution_map(cols: dict[str, F.Column] | None = None) -> F.Column:
