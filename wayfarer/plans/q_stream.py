@@ -57,7 +57,7 @@ def q_stream_merge(spark, sf_dir):
     seed_catalog(spark, seed, cat)
     drop = shared_path(spark, "drop")
     rows.where(F.col("event_id") > cut).write.partitionBy("day").parquet(drop)
-    stream = file_stream(spark, drop, rows.drop("day").schema, max_files=1)
+    stream = file_stream(spark, drop, rows.drop("day").schema, max_files=5)
     stream_merge(spark, stream, cat, ["event_id"], as_of="2024-07-01")
     out = read_current(spark, cat)
     return out.select(

@@ -40,47 +40,60 @@ def stream_merge(
     as_of=None,
     checkpoint: str | None = None,
 ) -> None:
-    """Merge each micro-batch into the catalogue at ``catalog_path``.
-
-    Each batch reads the current catalogue version, merges, and writes the
-    next version to a new folder, then swaps the pointer file, so a retried
-    batch (same epoch) recomputes from the same input version."""
+    """Merge each micro-batch into the versioned catalogue at ``catalog_path``.
+
+    Layout: ``data/v=<version>/country=<c>/`` holds catalogue rows and
+    ``pointer/e=<version>/`` maps every country to its current data version.
+    A batch (epoch E) reads only the countries it touches (semi-join + dynamic
+    partition pruning), merges them, writes them as version E+1 and a new
+    pointer version.  A retried epoch rebuilds from pointer versions <= E, so
+    it is idempotent; untouched countries are never rewritten."""
     checkpoint = checkpoint or shared_path(spark, "stream-merge-ckpt")
 
     def merge_batch(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
         sess = batch.sparkSession
-        cur = _current(sess, catalog_path)
-        base = sess.read.parquet(cur) if cur else None
-        if base is None:
-            merged = merge_catalog(batch.limit(0).select(*[F.col(c) for c in batch.columns]), batch, order_cols, as_of=as_of)
-        else:
-            merged = merge_catalog(base, batch, order_cols, as_of=as_of)
-        nxt = f"{catalog_path}/v{epoch:08d}"
-        merged.drop("merge_status").write.mode("overwrite").parquet(nxt)
-        sess.createDataFrame([(nxt,)], "path string").coalesce(1).write.mode("overwrite").text(f"{catalog_path}/_current")
+        version = epoch + 1
+        touched = batch.select("country").distinct()
+        base = read_current(sess, catalog_path, upto=version - 1)
+        base_t = base.join(touched, "country", "left_semi")
+        merged = merge_catalog(base_t, batch, order_cols, as_of=as_of).drop("merge_status")
+        merged.write.mode("overwrite").partitionBy("country").parquet(f"{catalog_path}/data/v={version}")
+        ptr = _pointer(sess, catalog_path, upto=version - 1)
+        new_ptr = ptr.join(touched, "country", "left_anti").unionByName(touched.select("country", F.lit(version).alias("v")))
+        new_ptr.write.mode("overwrite").parquet(f"{catalog_path}/pointer/e={version}")
 
     q = new_rows.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def _current(spark: SparkSession, catalog_path: str) -> str | None:
-    try:
-        rows = spark.read.text(f"{catalog_path}/_current").collect()
-    except Exception:  # noqa: BLE001 - no version yet
-        return None
-    return rows[0][0] if rows else None
+def _pointer(spark: SparkSession, catalog_path: str, upto: int | None = None) -> DataFrame:
+    """Latest pointer version (<= ``upto``): one row per country (bounded)."""
+    p = spark.read.parquet(f"{catalog_path}/pointer")
+    if upto is not None:
+        p = p.where(F.col("e") <= upto)
+    last = p.agg(F.max("e").alias("e"))
+    return p.join(last, "e").select("country", F.col("v").cast("int").alias("v"))
 
 
-def read_current(spark: SparkSession, catalog_path: str) -> DataFrame:
-    return spark.read.parquet(_current(spark, catalog_path))
+def read_current(spark: SparkSession, catalog_path: str, upto: int | None = None) -> DataFrame:
+    """The current catalogue: each country's rows from its pointed-to version
+    (the pointer is one row per country, so it is broadcast)."""
+    # explicit schema: partition values are never type-inferred (a country
+    # such as '007' stays a string)
+    seed = spark.read.parquet(f"{catalog_path}/data/v=0")
+    fields = [f for f in seed.schema.fields if f.name not in ("country", "v")]
+    schema = T.StructType(fields + [T.StructField("country", T.StringType()), T.StructField("v", T.IntegerType())])
+    data = spark.read.schema(schema).option("basePath", f"{catalog_path}/data").parquet(f"{catalog_path}/data")
+    ptr = _pointer(spark, catalog_path, upto)
+    return data.join(F.broadcast(ptr), ["country", "v"]).drop("v")
 
 
 def seed_catalog(spark: SparkSession, base: DataFrame, catalog_path: str) -> None:
-    first = f"{catalog_path}/v_seed"
-    base.write.mode("overwrite").parquet(first)
-    spark.createDataFrame([(first,)], "path string").coalesce(1).write.mode("overwrite").text(f"{catalog_path}/_current")
+    """Version 0 of the catalogue and its pointer."""
+    base.write.mode("overwrite").partitionBy("country").parquet(f"{catalog_path}/data/v=0")
+    base.select("country").distinct().withColumn("v", F.lit(0)).write.mode("overwrite").parquet(f"{catalog_path}/pointer/e=0")
 
 
 def running_means(spark: SparkSession, new_rows: DataFrame, out_path: str, keys: list[str] = ["country", "place"], checkpoint: str | None = None) -> None:
