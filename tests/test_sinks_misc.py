@@ -69,3 +69,22 @@ def test_labeller_and_ids(spark):
     rows = {r.review_id: r.distribution for r in lab.collect()}
     assert set(rows) == {"th-r-00000", "th-r-00001", "th-r-00002"}
     assert set(rows["th-r-00000"]) == set(LABEL_KEYS) and rows["th-r-00000"]["Romance"] == 10
+
+
+def test_new_route_names(spark):
+    from wayfarer.operators.itinerary import new_route_names
+
+    req = spark.createDataFrame([("Trip",), ("  ",), (None,), ("Fresh",)], "route string")
+    have = spark.createDataFrame([("Trip",)], "route string")
+    assert [r.route for r in new_route_names(req, have).collect()] == ["Fresh"]
+
+
+def test_catalog_overwrites_only_touched_countries(spark):
+    from wayfarer.sources.csv import read_catalog, write_catalog
+
+    path = shared_path(spark, "b1")
+    write_catalog(spark.createDataFrame([("A", "p1", 1), ("B", "p2", 1)], "country string, place string, v int"), path)
+    write_catalog(spark.createDataFrame([("A", "p3", 2)], "country string, place string, v int"), path)
+    got = sorted((r.country, r.place) for r in read_catalog(spark, path).collect())
+    assert got == [("A", "p3"), ("B", "p2")]
+    assert [r.place for r in read_catalog(spark, path, "B").collect()] == ["p2"]

@@ -29,6 +29,31 @@ LOCAL_CONF = {
 }
 
 
+# Recommended settings for a large cluster (~1000 executors, ~100 TB input).
+# Not applied automatically: a cluster's own configuration wins.
+CLUSTER_CONF = {
+    # start wide and let AQE coalesce to ~256 MB per reducer; split skewed
+    # partitions (a key may hold a third of all rows) in joins
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    # ~256 MB scan splits; columnar reads with pushdown
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # broadcast only what the planner measured to be small (size-checked)
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # Arrow batches for the Python stages; bounded memory per batch
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # streaming state off-heap in RocksDB
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def get_spark(master: str | None = None, app: str = "wayfarer", conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
