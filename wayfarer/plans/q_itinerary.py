@@ -158,7 +158,7 @@ FROM (SELECT route, {head} || string_agg({t}, '' ORDER BY seq) || '{I.KML_FOOTER
 @query("kml_text", sql=IT + _kml_sql())
 def q_kml_text(spark, sf_dir):
     k = I.kml_documents(itineraries(spark, sf_dir))
-    return k.select("route", F.md5("kml").alias("kml_md5"), F.length("kml").alias("kml_len"))
+    return k.select("route", F.md5("kml").alias("kml_md5"), F.length("kml").cast("bigint").alias("kml_len"))
 
 
 @query(
@@ -372,4 +372,4 @@ def q_latin1_clean(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     x = F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("text"), F.lit(_SMART))).otherwise(F.col("text"))
     c = d.select("doc_id", latin1_clean(x).alias("c"))
-    return c.select("doc_id", F.md5("c").alias("clean_md5"), F.length("c").alias("clean_len"))
+    return c.select("doc_id", F.md5("c").alias("clean_md5"), F.length("c").cast("bigint").alias("clean_len"))

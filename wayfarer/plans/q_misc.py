@@ -34,7 +34,7 @@ def q_tail_preview(spark, sf_dir):
 def q_split_join(spark, sf_dir):
     """H5: split a merged description on blank lines and join the parts again."""
     s = summary_of_p(spark, sf_dir).withColumn("_p", split_blank_line("description"))
-    return s.select("country", "place", F.size("_p").alias("parts"), F.md5(F.array_join("_p", " | ")).alias("joined_md5"))
+    return s.select("country", "place", F.size("_p").cast("bigint").alias("parts"), F.md5(F.array_join("_p", " | ")).alias("joined_md5"))
 
 
 @query("safe_name", sql="SELECT p_partkey, replace(p_name, ' ', '_') || '.kml' AS file_name FROM part")

@@ -44,12 +44,12 @@ def _pages(spark, sf_dir):
 
 @query("page_links", sql=f"WITH {LINKS_SQL} SELECT page_id, pos, href, link FROM links")
 def q_page_links(spark, sf_dir):
-    return page_links(_pages(spark, sf_dir)).select("page_id", "pos", "href", "link")
+    return page_links(_pages(spark, sf_dir)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "link")
 
 
 @query("link_filter", sql=f"WITH {LINKS_SQL} SELECT page_id, pos, link FROM filtered")
 def q_link_filter(spark, sf_dir):
-    return filter_links(page_links(_pages(spark, sf_dir))).select("page_id", "pos", "link")
+    return filter_links(page_links(_pages(spark, sf_dir))).select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
 
 
 @query("link_top100", sql=f"WITH {LINKS_SQL} SELECT page_id, link, rank FROM top WHERE rank <= 100")

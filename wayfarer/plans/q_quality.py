@@ -53,9 +53,9 @@ def q_null_clean(spark, sf_dir):
     return d.select(
         "doc_id",
         F.md5("c").alias("clean_md5"),
-        F.length("c").alias("clean_len"),
+        F.length("c").cast("bigint").alias("clean_len"),
         F.md5("a").alias("agent_md5"),
-        F.length("a").alias("agent_len"),
+        F.length("a").cast("bigint").alias("agent_len"),
     )
 
 
@@ -73,7 +73,7 @@ def q_required_filter(spark, sf_dir):
         "country",
         "place",
         F.md5("description").alias("description_md5"),
-        F.length("description").alias("description_len"),
+        F.length("description").cast("bigint").alias("description_len"),
     )
 
 
@@ -128,7 +128,7 @@ def q_contract_defaults(spark, sf_dir):
 
     d = add_missing(rename_legacy_text(docs_new_data(spark, sf_dir)), ["region", "place_type", "google_maps_url", "blog_source"], "")
     return d.select(
-        "doc_id", "region", "place_type", "google_maps_url", "blog_source", F.length(clean_text("description")).alias("description_len")
+        "doc_id", "region", "place_type", "google_maps_url", "blog_source", F.length(clean_text("description")).cast("bigint").alias("description_len")
     )
 
 

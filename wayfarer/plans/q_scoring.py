@@ -132,4 +132,4 @@ FROM g""",
 )
 def q_description_gate(spark, sf_dir):
     g = description_gate(_gate_input(spark, sf_dir), ["country", "place"], "description", ["doc_id"])
-    return g.select("country", "place", "n_valid", "gate", F.md5("text").alias("text_md5"))
+    return g.select("country", "place", F.col("n_valid").cast("bigint").alias("n_valid"), "gate", F.md5("text").alias("text_md5"))

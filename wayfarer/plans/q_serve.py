@@ -92,7 +92,7 @@ def q_threshold_rank(spark, sf_dir):
     # numbering the k result rows (bounded by k) after the distributed top-k
     w = Window.orderBy(F.col("combined_score").desc_nulls_last(), "place", "country")
     return top.select(
-        F.row_number().over(w).alias("rank"), "place", "country", F.round("combined_score", 4).alias("combined_score")
+        F.row_number().over(w).cast("bigint").alias("rank"), "place", "country", F.round("combined_score", 4).alias("combined_score")
     )
 
 
