@@ -122,7 +122,11 @@ def desc_match(a, b):
     return n > 0 and 400 * lcs_len(a, b) >= 171 * n
 
 
-def test_dedupe_descriptions_equals_sequential_model(spark):
+import pytest
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_dedupe_descriptions_equals_sequential_model(spark, tile):
     rng = random.Random(3)
     base = ["The temple is quiet at dawn and the murals are fine.", "Cheap food stalls line the river at night.", "Short."]
     rows = []
@@ -133,7 +137,7 @@ def test_dedupe_descriptions_equals_sequential_model(spark):
             s[p] = rng.choice("xyz ")
         rows.append((i, rng.choice(["A", "B"]), "P", "".join(s)))
     df = spark.createDataFrame(rows, "seq long, country string, place string, description string")
-    got = {r.seq: r.kept for r in dedupe_descriptions(df, ["country", "place"], "description", ["seq"]).collect()}
+    got = {r.seq: r.kept for r in dedupe_descriptions(df, ["country", "place"], "description", ["seq"], tile=tile).collect()}
     kept, want = {}, {}
     for seq, c, p, d in rows:
         ks = kept.setdefault((c, p), [])

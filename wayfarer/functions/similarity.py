@@ -121,10 +121,11 @@ def max_indel(n: int, slack: int, strict: bool, half: int = 200) -> int:
     return (slack * n - 1) // half if strict else (slack * n) // half
 
 
-def make_match_udf(slack: int, strict: bool):
+def make_match_udf(slack: int, strict: bool, use_bag: bool = True):
     """Pandas UDF: True iff the rounded ratio clears the threshold, i.e.
     d = |a|+|b|-2*LCS < (strict) or <= slack*(|a|+|b|)/200.  The length and
-    bag-distance lower bounds of d are checked before the exact LCS."""
+    bag-distance lower bounds of d are checked before the exact LCS (the bag
+    check can be skipped when a JVM-side bound already ran)."""
 
     @F.pandas_udf(T.BooleanType())
     def _match(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -136,7 +137,7 @@ def make_match_udf(slack: int, strict: bool):
                 out.append(False)
                 continue
             dmax = max_indel(n, slack, strict)
-            if abs(len(x) - len(y)) > dmax or bag_distance(x, y) > dmax:
+            if abs(len(x) - len(y)) > dmax or (use_bag and bag_distance(x, y) > dmax):
                 out.append(False)
                 continue
             # d = n - 2*LCS <= dmax  <=>  LCS >= ceil((n - dmax) / 2)
