@@ -21,6 +21,15 @@ def _w(path, text):
         f.write(text)
 
 
+def test_csv_row_positions(spark, tmp_dir):
+    _w(f"{tmp_dir}/x/a.csv", "place,description\n" + "".join(f'"p{i}","line\n{i}"\n' for i in range(50)))
+    _w(f"{tmp_dir}/x/b.csv", "place,description\nq0,d\nq1,d\n")
+    df = read_csv_dir(spark, f"file://{tmp_dir}/x")
+    rows = sorted((r._file.rsplit("/", 1)[-1], r._row, r.place) for r in df.collect())
+    assert [(f, n, p) for f, n, p in rows if f == "a.csv"] == [("a.csv", i, f"p{i}") for i in range(50)]
+    assert [(n, p) for f, n, p in rows if f == "b.csv"] == [(0, "q0"), (1, "q1")]
+
+
 def test_csv_headers_by_name_bom_multiline_na(spark, tmp_dir):
     _w(f"{tmp_dir}/Spain/a.csv", '\ufeffplace,description,region\n"Alhambra","Line one\nline two",N/A\n')
     _w(f"{tmp_dir}/Laos/b.csv", ' description , place ,country,map_link\n"Wat","Pha That",,http://m\n')

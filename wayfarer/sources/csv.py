@@ -16,7 +16,7 @@ pandas' NA spellings become NULL (T2); the folder name fills a missing or NULL
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,7 +60,10 @@ def read_csv_dir(
     lower_headers: bool = False,
 ) -> DataFrame:
     """All CSVs under ``root`` (recursive), name-mapped per file,
-    with ``_file`` (path) and ``_folder`` (parent folder name) columns."""
+    with ``_file`` (path), ``_row`` (0-based row in the file; arrival order is
+    (``_file``, ``_row``)) and ``_folder`` (parent folder name) columns.
+    Unreadable files are skipped (``ignoreCorruptFiles``), malformed rows kept
+    with NULLs (PERMISSIVE)."""
     layouts = header_layouts(spark, root, glob)
     frames = []
     for header, files in layouts.items():
@@ -85,8 +88,11 @@ def read_csv_dir(
             .option("multiLine", True)
             .option("escape", '"')
             .option("mode", "PERMISSIVE")
+            .option("ignoreCorruptFiles", True)
             .csv(files)
             .withColumn("_file", F.col("_metadata.file_path"))
+            # multiLine files are never split: ids rise in row order within a file
+            .withColumn("_mid", F.monotonically_increasing_id())
         )
         frames.append(df)
     if not frames:
@@ -95,6 +101,8 @@ def read_csv_dir(
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     out = out.withColumn("_folder", F.regexp_replace(F.element_at(F.split("_file", "/"), -2), "^[^=/]+=", ""))
+    # Reproducible arrival order = (file, row position in the file)
+    out = out.withColumn("_row", F.col("_mid") - F.min("_mid").over(Window.partitionBy("_file"))).drop("_mid")
     na = set(na_values)
     return out.withColumns({c: F.when(F.col(c).isin(*na), F.lit(None)).otherwise(F.col(c)) for c in out.columns if not c.startswith("_")})
 
