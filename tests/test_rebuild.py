@@ -88,3 +88,35 @@ def test_aggregate_places_equals_sequential_loop(spark):
         for r in aggregate_places(df, ["seq"]).collect()
     }
     assert got == sequential(rows)
+
+
+def test_update_catalog_from_folder(spark, tmp_dir):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from wayfarer.operators.summary import place_summary
+    from wayfarer.plans.rebuild import update_catalog_from_folder
+    from wayfarer.schemas import CATEGORIES
+    from wayfarer.session import shared_path
+    from wayfarer.sources.csv import read_catalog, write_catalog
+
+    base_rows = [(1, "TH", "Wat Arun", "old text", *[6.0] * 10), (2, "LA", "Pha That", "x", *[2.0] * 10)]
+    ddl = "seq long, country string, place string, description string, " + ", ".join(f"{c} double" for c in CATEGORIES)
+    base = place_summary(spark.createDataFrame(base_rows, ddl), ["seq"], as_of="2024-01-01")
+    base = base.withColumns({c: F.col(c).cast("double") for c in CATEGORIES})
+    cat = shared_path(spark, "cat")
+    write_catalog(base, cat)
+    os.makedirs(f"{tmp_dir}/drop")
+    hdr = "country,place,text," + ",".join(CATEGORIES) + "\n"
+    with open(f"{tmp_dir}/drop/new.csv", "w") as f:
+        f.write(hdr + "TH,Wat Arun,new review," + ",".join(["8"] * 10) + "\n")
+        f.write("TH,Fresh,nice place," + ",".join(["3"] * 10) + "\n")
+    ledger = shared_path(spark, "ledger")
+    assert update_catalog_from_folder(spark, f"file://{tmp_dir}/drop", cat, ledger, as_of="2024-02-02") is not None
+    got = {(r.country, r.place): r for r in read_catalog(spark, cat).collect()}
+    assert got[("TH", "Wat Arun")].romance == 7.0 and got[("TH", "Wat Arun")].description_count == 2
+    assert got[("TH", "Fresh")].description_count == 1
+    assert got[("LA", "Pha That")].romance == 2.0  # untouched country kept as it was
+    # the same file is not merged twice
+    assert update_catalog_from_folder(spark, f"file://{tmp_dir}/drop", cat, ledger) is None

@@ -68,3 +68,33 @@ def incremental_update(
 
         write_catalog(merged.drop("merge_status"), output_path)
     return merged, merge_stats(merged)
+
+
+def update_catalog_from_folder(
+    spark,
+    drop_folder: str,
+    catalog_path: str,
+    ledger_path: str,
+    scorer: Callable = keyword_scorer,
+    as_of=None,
+) -> DataFrame | None:
+    """Batch drop-folder update (A9, B1, B7, D1): only files not yet in the
+    ledger are read; only the countries they touch are read from the
+    partitioned catalogue (semi-join, partition pruning) and rewritten
+    (dynamic partition overwrite); the files are then recorded as processed.
+    Returns the merge statistics, or None when nothing is new."""
+    from wayfarer.sources.csv import new_files_only, read_catalog, read_csv_dir, record_processed, write_catalog
+
+    rows = new_files_only(read_csv_dir(spark, drop_folder), ledger_path)
+    if rows.isEmpty():
+        return None
+    norm = normalize_new_data(rows.drop("_folder"))
+    scored = overlay_scores(norm, scorer).drop("score_error")
+    touched = scored.select("country").distinct()
+    base = read_catalog(spark, catalog_path).join(touched, "country", "left_semi")
+    merged = merge_catalog(base, scored, ["_file", "_row"], as_of=as_of)
+    stage = catalog_path.rstrip("/") + "._next"
+    merged.drop("merge_status").write.mode("overwrite").parquet(stage)  # the plan reads the catalogue (T9)
+    write_catalog(spark.read.parquet(stage), catalog_path)
+    record_processed(rows, ledger_path)
+    return merge_stats(spark.read.parquet(stage).withColumn("merge_status", F.lit("written")))
