@@ -112,14 +112,29 @@ def text_features(text_col: str = "review", max_tokens: int | None = None, num_f
 
 
 def train_regressors(train: DataFrame, text_col: str = "review", label_col: str = "labels", max_tokens: int | None = None, reg: float = 0.1):
-    """K3: one pipeline: features + a linear regression per category on the
-    0-1 label vector.  Refit on old + new labels to 'continue' training (Spark's
-    linear regression has no warm start)."""
-    stages = text_features(text_col, max_tokens)
-    for i, c in enumerate(CATEGORIES):
-        stages.append(SQLTransformer(statement=f"SELECT *, {label_col}[{i}] AS _y_{c} FROM __THIS__"))
-        stages.append(LinearRegression(featuresCol="features", labelCol=f"_y_{c}", predictionCol=f"pred_{c}", regParam=reg, maxIter=20))
-    return Pipeline(stages=stages).fit(train)
+    """K3: features fitted once, then one linear regression per category on the
+    0-1 label vector.  The feature matrix is persisted (recomputable from
+    lineage if an executor is lost) so the ten fits do not re-tokenise; the fits
+    are independent and run concurrently.  Refit on old + new labels to
+    'continue' training (Spark's linear regression has no warm start)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import StorageLevel
+    from pyspark.ml import PipelineModel
+
+    feats = Pipeline(stages=text_features(text_col, max_tokens)).fit(train)
+    fx = feats.transform(train).select("features", *[F.col(label_col)[i].alias(f"_y_{c}") for i, c in enumerate(CATEGORIES)])
+    fx = fx.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        def fit(c):
+            lr = LinearRegression(featuresCol="features", labelCol=f"_y_{c}", predictionCol=f"pred_{c}", regParam=reg, maxIter=20)
+            return lr.fit(fx)
+
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            models = list(pool.map(fit, CATEGORIES))
+    finally:
+        fx.unpersist()
+    return PipelineModel(stages=[*feats.stages, *models])
 
 
 def evaluate(model, test: DataFrame, label_col: str = "labels") -> DataFrame:
