@@ -82,7 +82,9 @@ def merge_catalog(
         base = keep_first(base, base_order)
 
     out_cols = CATALOG_TEXT + CATEGORIES + ["description_count", "last_updated"]
-    countries = base.select("country").distinct()
+    # distinct countries: bounded by the world's countries (a few hundred rows),
+    # not by the data, so broadcasting them avoids shuffling the new rows here
+    countries = F.broadcast(base.select("country").distinct())
     new_in = new.join(countries, "country", "left_semi")
     new_out = new.join(countries, "country", "left_anti")
 
