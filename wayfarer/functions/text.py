@@ -15,7 +15,6 @@ from wayfarer.schemas import NULL_LIKE, NULL_LIKE_AGENT, PLACEHOLDER_PHRASES
 
 # Unicode whitespace plus the ASCII separators Python also counts as space.
 _WS = r"[\s\x1c-\x1f]"
-_STRIP_RE = rf"(?U)^{_WS}+|{_WS}+$"
 _RUNS_RE = rf"(?U){_WS}+"
 
 
@@ -130,8 +129,3 @@ def xml_escape(x) -> Column:
     c = F.replace(_c(x), F.lit("&"), F.lit("&amp;"))
     c = F.replace(c, F.lit("<"), F.lit("&lt;"))
     return F.replace(c, F.lit(">"), F.lit("&gt;"))
-
-
-def bool_coerce(x) -> Column:
-    """Parse a boolean; anything unparseable or NULL -> false."""
-    return F.coalesce(F.expr(f"try_cast({x} AS boolean)") if isinstance(x, str) else x.try_cast("boolean"), F.lit(False))

@@ -13,7 +13,6 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wayfarer.schemas import CATEGORIES, LABELLED_REVIEW
 

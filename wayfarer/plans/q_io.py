@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfarer.functions.text import strip
 from wayfarer.operators.quality import normalize_headers
 from wayfarer.operators.summary import place_summary
 from wayfarer.plans.places import place_rows

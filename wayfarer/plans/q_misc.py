@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfarer.functions.text import join_blank_line, safe_name, split_blank_line
+from wayfarer.functions.text import safe_name, split_blank_line
 from wayfarer.operators.scoring import rescale
 from wayfarer.plans.places import ORDER, place_rows
 from wayfarer.plans.q_summary import summary_of_p

@@ -12,7 +12,6 @@ from wayfarer.plans.places import ORDER, place_rows
 from wayfarer.plans.registry import query
 from wayfarer.plans.sqlparts import SEQ, clean, placeholder, strip, with_p
 from wayfarer.schemas import PLACEHOLDER_PHRASES
-from wayfarer.session import table
 
 
 def _clean_agent_sql(x):
