@@ -31,7 +31,9 @@ LINKS_SQL = f"""links AS (
                replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS href,
                pos
         FROM (SELECT page_id, url, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS pos
-              FROM (SELECT page_id, url, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages)))),
+              FROM (SELECT page_id, url,
+                           regexp_extract_all(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'),
+                                              '<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages)))),
 filtered AS (SELECT * FROM links WHERE strpos(link, regexp_extract(url, {U}, 2)) > 0
              AND {' AND '.join(f"strpos(link, '{x}') = 0" for x in LINK_EXCLUDE)}),
 top AS (SELECT page_id, url, link, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank

@@ -20,11 +20,14 @@ from wayfarer.functions.urls import absolutize, html_unescape_basic, url_netloc
 from wayfarer.schemas import EXTRACTED_JSON, HTML_DROP_TAGS, LINK_EXCLUDE
 
 HREF_RE = r'<a\s[^>]*href="([^"]*)"'
+# script/style bodies and comments are not markup: links inside them do not count
+NON_MARKUP_RE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """H19 + H6: every ``<a href>`` of a page with its position, made absolute."""
-    x = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(HREF_RE), 1)).alias("pos", "href"))
+    markup = F.regexp_replace("html", NON_MARKUP_RE, " ")
+    x = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(markup, F.lit(HREF_RE), 1)).alias("pos", "href"))
     href = html_unescape_basic(F.col("href"))
     return x.select("page_id", "url", "pos", href.alias("href"), absolutize(href, F.col("url")).alias("link"))
 
