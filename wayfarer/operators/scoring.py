@@ -22,6 +22,7 @@ from wayfarer.functions.text import strip
 from wayfarer.operators.quality import has_complete_ratings
 from wayfarer.operators.summary import category_means
 from wayfarer.schemas import CATEGORIES
+from wayfarer.session import spread_for_python
 
 _WORKER_CACHE: dict = {}
 
@@ -111,7 +112,7 @@ def raw_scores(
             out["score_error"] = err.to_numpy()
             yield out
 
-    res = base.mapInPandas(run, schema)
+    res = spread_for_python(base).mapInPandas(run, schema)
     if on_error == "drop":
         res = res.where(F.col("score_error").isNull())
     elif on_error == "zero":
@@ -230,4 +231,4 @@ def score_struct(df: DataFrame, factory: Callable = stats_scorer, text_col: str
                 out[c] = pred[c].to_numpy()
             yield out
 
-    return base.mapInPandas(run, schema)
+    return spread_for_python(base).mapInPandas(run, schema)

@@ -128,3 +128,14 @@ def cpu_parallelism(spark: SparkSession, factor: int = 2) -> int:
     which packs small-but-expensive rows (text pairs for an exact LCS) into a
     few tasks; an explicit-count repartition keeps every core busy."""
     return max(1, spark.sparkContext.defaultParallelism * factor)
+
+
+def spread_for_python(df):
+    """Before a CPU-heavy Python stage: if the input has fewer partitions than
+    the cluster has cores (a small table read as one split), spread it by a
+    round-robin repartition; a large input already has enough partitions and is
+    left alone (no extra shuffle).  Counting partitions only plans, no job."""
+    target = cpu_parallelism(df.sparkSession, 1)
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(cpu_parallelism(df.sparkSession))
+    return df

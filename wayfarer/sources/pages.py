@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from wayfarer.functions.text import clean_text_agent, is_placeholder_agent
 from wayfarer.functions.urls import absolutize, html_unescape_basic, url_netloc
 from wayfarer.schemas import EXTRACTED_JSON, HTML_DROP_TAGS, LINK_EXCLUDE
+from wayfarer.session import spread_for_python
 
 HREF_RE = r'<a\s[^>]*href="([^"]*)"'
 # script/style bodies and comments are not markup: links inside them do not count
@@ -107,7 +108,7 @@ def page_text(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     t = page_text_udf(F.col("html"))
     if max_chars:
         t = F.substring(t, 1, max_chars)
-    return pages.select("page_id", "url", t.alias("text"))
+    return spread_for_python(pages).select("page_id", "url", t.alias("text"))
 
 
 def sentence_extractor(texts: pd.Series, countries: pd.Series) -> pd.Series:
@@ -139,7 +140,7 @@ def extract_places(
         for pdf in it:
             yield pdf.assign(_json=extractor(pdf["text"], pdf[requested_country]).to_numpy())
 
-    j = texts.mapInPandas(run, schema)
+    j = spread_for_python(texts).mapInPandas(run, schema)
     return records_from_json(j, "_json", requested_country)
 
 
