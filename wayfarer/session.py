@@ -134,7 +134,12 @@ def spread_for_python(df):
     """Before a CPU-heavy Python stage: if the input has fewer partitions than
     the cluster has cores (a small table read as one split), spread it by a
     round-robin repartition; a large input already has enough partitions and is
-    left alone (no extra shuffle).  Counting partitions only plans, no job."""
+    left alone (no extra shuffle).  Only scan-like plans (no exchange) are
+    inspected, where counting partitions only plans and runs no job."""
+    # with AQE, asking a plan that contains a shuffle for its partition count
+    # would run the shuffle: such inputs are left to AQE's own partitioning
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     target = cpu_parallelism(df.sparkSession, 1)
     if df.rdd.getNumPartitions() < target:
         return df.repartition(cpu_parallelism(df.sparkSession))
