@@ -88,3 +88,14 @@ def test_catalog_overwrites_only_touched_countries(spark):
     got = sorted((r.country, r.place) for r in read_catalog(spark, path).collect())
     assert got == [("A", "p3"), ("B", "p2")]
     assert [r.place for r in read_catalog(spark, path, "B").collect()] == ["p2"]
+
+
+def test_spread_for_python_only_touches_scan_plans(spark):
+    from wayfarer.session import cpu_parallelism, spread_for_python
+
+    path = shared_path(spark, "spread")
+    spark.range(100).coalesce(1).write.parquet(path)
+    small = spark.read.parquet(path)
+    assert spread_for_python(small).rdd.getNumPartitions() == cpu_parallelism(spark)
+    shuffled = small.groupBy((F.col("id") % 3).alias("k")).count()
+    assert spread_for_python(shuffled) is shuffled  # left to AQE, no hidden job
