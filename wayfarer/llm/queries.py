@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfarer.llm.bpe import encode_decode
 from wayfarer.llm.common import read_table
 from wayfarer.llm.exact_dedup import exact_dedup
 from wayfarer.llm.jaccard import jaccard_components
 from wayfarer.llm.langid import held_out, identify, train
+from wayfarer.llm.packing import pack_documents
+from wayfarer.llm.secret_scan import scan_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +61,67 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = train(docs.where(~held_out("doc_id", 5)))
     found = identify(docs.select("doc_id", "text"), trees)
     return found.select("doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def _duck_spans(kind: int, pattern: str) -> str:
+    """List of {s, k, e, vs, v} structs of all matches of ``pattern`` in t."""
+    value = f"regexp_extract(h[i], '{pattern}', 2)" if kind == 0 else "h[i]"
+    return f"""
+      SELECT rid, unnest(list_transform(range(1, len(h) + 1), lambda i: {{
+          's': coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)::BIGINT
+             + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0)::BIGINT,
+          'n': length(h[i])::BIGINT, 'v': {value}}})) AS x, {kind} AS k
+      FROM (SELECT rid, regexp_extract_all(t, '{pattern}', 0) AS h, string_split_regex(t, '{pattern}') AS g FROM d
+            WHERE regexp_matches(t, '{pattern}'))"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_DUCK_ASSIGN = (
+    "(" + "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+    + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+
+@query(
+    "op2_secret_scan",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+    raw AS ({_duck_spans(0, _DUCK_ASSIGN)} UNION ALL {_duck_spans(1, "AKIA[A-Z0-9]{16,}")} UNION ALL {_duck_spans(2, "[0-9a-f]{24,}")}),
+    c AS (SELECT rid, k, x.s AS s, x.s + x.n AS e, x.s + x.n - length(x.v) AS vs, x.v AS v FROM raw
+          WHERE k <> 0 OR length(x.v) >= 6),
+    own AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n_owners FROM c JOIN d USING (rid) GROUP BY v),
+    j AS (SELECT c.*, n_owners, regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+                 AND len(list_distinct(string_split(v, ''))) >= 6 AND n_owners <= 2 AS is_live
+          FROM c JOIN own USING (v)),
+    a AS (SELECT rid, s, k, e FROM c UNION ALL SELECT DISTINCT rid, vs, 3, e FROM j WHERE is_live),
+    named AS (SELECT *, ['assign', 'access', 'hex', 'live'][k + 1] || ':' || s || ':' || e AS one FROM a),
+    r AS (SELECT rid,
+                 count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                 coalesce(string_agg(one, ',' ORDER BY s, k, e) FILTER (k < 3), '') AS base,
+                 string_agg(one, ',' ORDER BY s, k, e) AS spans, count(*) FILTER (k = 3) AS n_live
+          FROM named GROUP BY rid),
+    ex AS (SELECT rid, count(*) AS n_example FROM j WHERE n_owners > 2 GROUP BY rid)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+           coalesce(n_example, 0) AS n_example
+    FROM d LEFT JOIN r USING (rid) LEFT JOIN ex USING (rid)
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return scan_secrets(docs).drop("live", "row_sha256")
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048)
+
+
+@query("op1_byte_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
