@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.session import shared_path, table
 
-__all__ = ["among", "bounded_batches", "components", "crc_mod", "fresh", "read_table", "shared_path", "staged", "text_of", "word_hashes"]
+__all__ = ["among", "bounded_batches", "components", "crc_mod", "fresh", "maybe_among", "read_table", "shared_path", "staged", "text_of", "word_hashes"]
 
 ARROW_ROWS = 1000
 
@@ -56,11 +56,11 @@ def fresh(df: DataFrame, name: str) -> str:
 BITMAP_BITS = 1 << 23
 
 
-def among(rows: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows whose ``cols`` may be among ``keys`` (all that are, few others),
-    without moving a row: the keys set bits of a bitmap of ``BITMAP_BITS`` bits
-    (1 MB, at most 256 rows of 4 KB, whatever the input), which is broadcast.
-    A crowded bitmap lets more rows through; none is lost."""
+def maybe_among(rows: DataFrame, keys: DataFrame, cols: list[str], flag: str) -> DataFrame:
+    """``rows`` with a column ``flag``: false where ``cols`` are surely not
+    among ``keys``.  No row moves: the keys set bits of a bitmap of
+    ``BITMAP_BITS`` bits (1 MB, at most 256 rows of 4 KB, whatever the input),
+    which is broadcast.  A crowded bitmap flags more rows; none is missed."""
     slot, page, bits = fresh(rows, "slot"), fresh(rows, "page"), fresh(rows, "bits")
 
     def at(df: DataFrame) -> DataFrame:
@@ -70,7 +70,14 @@ def among(rows: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
     bitmap = at(keys).groupBy(page).agg(F.bitmap_construct_agg(F.col(slot) % 32768).alias(bits))
     byte = f"cast(conv(hex(substring({bits}, cast(({slot} % 32768) / 8 as int) + 1, 1)), 16, 10) as int)"
     is_set = F.expr(f"({byte} & shiftleft(1, cast({slot} % 8 as int))) != 0")
-    return at(rows).join(F.broadcast(bitmap), page).where(is_set).select(rows.columns)
+    joined = at(rows).join(F.broadcast(bitmap), page, "left")
+    return joined.withColumn(flag, F.coalesce(is_set, F.lit(False))).select(*rows.columns, flag)
+
+
+def among(rows: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows whose ``cols`` may be among ``keys``: all that are, few others."""
+    flag = fresh(rows, "may")
+    return maybe_among(rows, keys, cols, flag).where(flag).drop(flag)
 
 
 def text_of(col: str = "text") -> Column:

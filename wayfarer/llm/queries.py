@@ -16,6 +16,7 @@ from wayfarer.llm.common import read_table
 from wayfarer.llm.exact_dedup import exact_dedup
 from wayfarer.llm.jaccard import jaccard_components
 from wayfarer.llm.langid import held_out, identify, train
+from wayfarer.llm.line_dedup import dedup_lines
 from wayfarer.llm.packing import pack_documents
 from wayfarer.llm.secret_scan import scan_secrets
 from wayfarer.llm.topk import top_k
@@ -142,3 +143,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query(
+    "op5_line_dedup",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT rid, doc_id, i, len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) AS n
+          FROM (SELECT rid, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY rid ORDER BY i) AS upto FROM l),
+    w AS (SELECT a.rid, a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b ON a.rid = b.rid AND b.i >= a.i AND b.upto - a.upto + a.n >= 50
+          GROUP BY ALL),
+    t AS (SELECT w.*, array_to_string(lines[i:j], chr(10)) AS run FROM w JOIN d USING (rid)),
+    later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM t) WHERE k > 1),
+    gone AS (SELECT rid, list_distinct(flatten(list(range(i, j + 1)))) AS g FROM later GROUP BY rid)
+    SELECT doc_id, len(lines) AS n_lines, coalesce(len(g), 0) AS n_deleted,
+           sha256(array_to_string(list_transform(list_filter(range(1, len(lines) + 1),
+                  lambda i: NOT list_contains(coalesce(g, []), i)), lambda i: lines[i]), chr(10))) AS text_sha256
+    FROM d LEFT JOIN gone USING (rid)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = dedup_lines(docs)
+    return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

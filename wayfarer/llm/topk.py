@@ -40,7 +40,6 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     )
 
 
-@F.pandas_udf("struct<cells:binary,wide:boolean>")
 def approximation(v: pd.Series) -> pd.DataFrame:
     out = []
     for x in v:
@@ -117,7 +116,7 @@ def top_k(
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     chunks = max(1, -(-classes.count() // CHUNK))
 
-    near = classes.select("cid", "dim", approximation("v").alias("a")).select(
+    near = classes.select("cid", "dim", F.pandas_udf(approximation, "struct<cells:binary,wide:boolean>")("v").alias("a")).select(
         "cid", "dim", "a.*", F.pmod(F.xxhash64("cid"), F.lit(chunks)).alias("c"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"),
     )
