@@ -17,6 +17,7 @@ from wayfarer.llm.exact_dedup import exact_dedup
 from wayfarer.llm.jaccard import jaccard_components
 from wayfarer.llm.langid import held_out, identify, train
 from wayfarer.llm.line_dedup import dedup_lines
+from wayfarer.llm.lm_score import cross_entropy_difference
 from wayfarer.llm.packing import pack_documents
 from wayfarer.llm.secret_scan import scan_secrets
 from wayfarer.llm.topk import top_k
@@ -167,3 +168,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     done = dedup_lines(docs)
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op7_lm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(docs, good)
