@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfarer.llm import toxicity
 from wayfarer.llm.bpe import encode_decode
 from wayfarer.llm.common import read_table
 from wayfarer.llm.exact_dedup import exact_dedup
@@ -175,3 +176,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return cross_entropy_difference(docs, good)
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")))
+    found = toxicity.score(docs, model, threshold=0.7)
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "abuse", "misspelt", "n_quoted")
