@@ -7,12 +7,15 @@ input.  All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfarer.llm.common import read_table, staged
 from wayfarer.llm.exact_dedup import keep_exact
 from wayfarer.llm.jaccard import one_of_each
 from wayfarer.llm.langid import keep_identified
+from wayfarer.llm.packing import pack_documents
+from wayfarer.llm.secret_scan import mask_secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +34,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs, shingle=5, percent=80)
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: live-looking credentials are masked; every document stays."""
+    return mask_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: every token of every document gets its place in a sequence."""
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER), length=SEQUENCE)
+
+
+TOKENIZER = "word_bpe_49k.json"
+SEQUENCE = 2048
+
 STAGES = [
     ("language_id", language_id),
     ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
 ]
 
 #: Language models, streams and local search have no SQL form; the stages are

@@ -123,7 +123,7 @@ def slot(g: np.ndarray) -> np.ndarray:
     return (g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def add_pages(key, t: pd.DataFrame) -> pd.DataFrame:
+def add_pages(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
     total = sum((np.frombuffer(x, np.int64) for x in t["counts"]), np.zeros(1, np.int64))
     return pd.DataFrame({"page": [key[0]], "counts": [total.tobytes()]})
 
@@ -265,7 +265,7 @@ def block_links(percent: int):
     components at once, then exact intersections, skipping what a link found
     before has connected.  Gives the links that connect components."""
 
-    def run(key, t: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["block", "id"], ignore_index=True)
         bits = np.frombuffer(b"".join(t["bits"]), np.uint64).reshape(-1, BITMAP_WORDS)
         size, comp = t["size"].to_numpy(np.int64), t["comp"].to_numpy(np.int64)

@@ -77,7 +77,7 @@ def counted(docs: DataFrame) -> np.ndarray:
                     [pa.array([k], pa.int32()), pa.array([page.astype(np.int64).tobytes()], pa.binary())], ["page", "counts"]
                 )
 
-    def add(key, t: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(PAGE, np.int64)
         for x in t["counts"]:
             total += np.frombuffer(x, np.int64)

@@ -202,7 +202,7 @@ def local_search(sizes: np.ndarray, bin_of: np.ndarray, cap: int, passes: int =
 
 
 def packer(cap: int):
-    def run(key, t: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["length", "id", "piece", "deal"], ascending=[False, True, True, True], ignore_index=True)
         sizes = t["length"].to_numpy(np.int64)
         bins = np.unique(local_search(sizes, best_fit(sizes, cap), cap), return_inverse=True)[1]

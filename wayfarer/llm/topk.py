@@ -52,7 +52,7 @@ def scan_tile(k: int):
     """Bounds of all scores of a query block in a chunk; gives the pairs whose
     upper bound reaches the k-th best lower bound of the query."""
 
-    def run(key, queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"qid": [], "cid": [], "lower": [], "upper": []})
         if not len(queries) or not len(chunk):
             return none
