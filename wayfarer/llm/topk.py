@@ -40,20 +40,22 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     )
 
 
-def approximation(v: pd.Series) -> pd.DataFrame:
-    out = []
-    for x in v:
-        c = np.floor_divide(np.asarray(x, np.int64), CELL)
-        out.append((c.clip(-128, 127).astype(np.int8).tobytes(), bool((np.abs(c) > 126).any())))
-    return pd.DataFrame(out, columns=["cells", "wide"])
+def approximation(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: np.floor_divide(np.asarray(x, np.int64), CELL).clip(-128, 127).astype(np.int8).tobytes())
+
+
+def is_wide(v: str) -> Column:
+    """A component lies beyond the cells of one byte: no bound is known."""
+    return F.exists(v, lambda x: (x < -127 * CELL) | (x >= 127 * CELL))
 
 
 def scan_tile(k: int):
     """Bounds of all scores of a query block in a chunk; gives the pairs whose
     upper bound reaches the k-th best lower bound of the query."""
 
-    def run(key: tuple, queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"qid": [], "cid": [], "lower": [], "upper": []})
+    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        queries, chunk = t[t["cells"].isna()], t[t["cells"].notna()]
+        none = pd.DataFrame(np.zeros((0, 4)), columns=["qid", "cid", "lower", "upper"]).astype({"qid": object, "cid": object})
         if not len(queries) or not len(chunk):
             return none
         q = np.stack(queries["v"].to_numpy()).astype(np.float64)
@@ -74,8 +76,8 @@ def scan_tile(k: int):
             parts.append(
                 pd.DataFrame(
                     {
-                        "qid": queries["qid"].to_numpy()[at + i],
-                        "cid": chunk["cid"].to_numpy()[j],
+                        "qid": queries["name"].to_numpy()[at + i],
+                        "cid": chunk["name"].to_numpy()[j],
                         "lower": lower[i, j],
                         "upper": upper[i, j],
                     }
@@ -116,18 +118,20 @@ def top_k(
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     chunks = max(1, -(-classes.count() // CHUNK))
 
-    near = classes.select("cid", "dim", F.pandas_udf(approximation, "struct<cells:binary,wide:boolean>")("v").alias("a")).select(
-        "cid", "dim", "a.*", F.pmod(F.xxhash64("cid"), F.lit(chunks)).alias("c"),
+    cells = F.pandas_udf(approximation, "binary")
+    near = classes.select(
+        F.pmod(F.xxhash64("cid"), F.lit(chunks)).cast("int").alias("c"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"),
-    )
+        "dim", F.col("cid").alias("name"), F.lit(None).cast("array<long>").alias("v"), cells("v").alias("cells"), is_wide("v").alias("wide"),
+    )
     asked = queries.select(
-        "qid", "dim", "v", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("c"),
-    )
-    tile = ["b", "c", "dim"]
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"),
+        F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"),
+        "dim", F.col("qid").alias("name"), "v", F.lit(None).cast("binary").alias("cells"), F.lit(False).alias("wide"),
+    )
     found = (
-        asked.groupBy(*tile)
-        .cogroup(near.groupBy(*tile))
+        near.unionByName(asked)
+        .groupBy("b", "c", "dim")
         .applyInPandas(scan_tile(k + 1), "qid string, cid string, lower double, upper double")
     )
     found = staged(found, "topk-bounds")
