@@ -68,7 +68,8 @@ def trip_metrics(it: DataFrame) -> DataFrame:
 
 
 def value_counts(it: DataFrame, col: str) -> DataFrame:
-    """Per route counts of ``col`` values (NULLs excluded), descending."""
+    """Per route counts of ``col`` values (NULLs excluded).  A table has
+    no order: sort the result by ``n`` descending where it is shown."""
     return (
         it.where(F.col(col).isNotNull())
         .groupBy(KEY, F.col(col).alias("value"))
@@ -156,12 +157,17 @@ def apply_day_edits(it: DataFrame, edits: DataFrame) -> DataFrame:
     return it.join(e, [KEY, "seq"], "left").withColumn("day", F.coalesce("_new_day", "day")).drop("_new_day")
 
 
-def add_places(it: DataFrame, additions: DataFrame) -> DataFrame:
+def add_places(it: DataFrame, additions: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
     """Add (route, place, ...) rows only where the route lacks the place;
-    new stops are sequenced after the route's last stop."""
+    new stops are sequenced after the route's last stop, in ``order_cols``
+    order (arrival), else by place.  Of several additions of one place to one
+    route the first stays, as each is checked against what was added before."""
+    order = [F.col(c) for c in (order_cols or ["place"])]
+    one = Window.partitionBy(KEY, "place").orderBy(*order)
+    additions = additions.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
     new = additions.join(it.select(KEY, "place").distinct(), [KEY, "place"], "left_anti")
     last = it.groupBy(KEY).agg(F.max("seq").alias("_last"))
-    w = Window.partitionBy(KEY).orderBy("place")
+    w = Window.partitionBy(KEY).orderBy(*order, "place")
     new = new.join(last, KEY, "left").withColumn("seq", F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).drop("_last")
     return new
 
@@ -202,9 +208,10 @@ def station_cards(stations: DataFrame) -> DataFrame:
     )
 
 
-def default_stations(stations: DataFrame, per_country: int = 3, order_col: str = "station_name") -> DataFrame:
-    """D9 lookup: the first ``per_country`` stations of each country - a table
-    with a proven size bound (per_country x countries), safe to broadcast."""
+def default_stations(stations: DataFrame, per_country: int | None = None, order_col: str = "station_name") -> DataFrame:
+    """D9 lookup: all stations of each country, or the first ``per_country``."""
+    if per_country is None:
+        return stations
     w = Window.partitionBy("country").orderBy(order_col)
     return stations.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_country).drop("_r")
 
@@ -212,13 +219,16 @@ def default_stations(stations: DataFrame, per_country: int = 3, order_col: str =
 def add_station_defaults(route_countries: DataFrame, defaults: DataFrame, saved: DataFrame) -> DataFrame:
     """D9 + D10: default stations of every visited country, skipping names the
     route already saved."""
-    d = route_countries.join(F.broadcast(defaults), "country")
+    d = route_countries.join(defaults, "country")
     return d.join(saved.select(KEY, "station_name").distinct(), [KEY, "station_name"], "left_anti")
 
 
 def insert_if_absent(existing: DataFrame, candidates: DataFrame, keys: list[str], ci_key: str) -> DataFrame:
     """Candidates whose ``ci_key`` (case-insensitive) is not present yet
-    under the same ``keys``."""
+    under the same ``keys``; of candidates that differ in case only, the first
+    by ``ci_key`` goes in."""
     e = existing.select(*keys, F.lower(F.col(ci_key)).alias("_k")).distinct()
-    c = candidates.withColumn("_k", F.lower(F.col(ci_key)))
+    w = Window.partitionBy(*keys, "_k").orderBy(ci_key)
+    c = candidates.withColumn("_k", F.lower(F.col(ci_key))).withColumn("_nth", F.row_number().over(w))
+    c = c.where("_nth = 1").drop("_nth")
     return c.join(e, [*keys, "_k"], "left_anti").drop("_k")

@@ -82,9 +82,8 @@ def merge_catalog(
         base = keep_first(base, base_order)
 
     out_cols = CATALOG_TEXT + CATEGORIES + ["description_count", "last_updated"]
-    # distinct countries: bounded by the world's countries (a few hundred rows),
-    # not by the data, so broadcasting them avoids shuffling the new rows here
-    countries = F.broadcast(base.select("country").distinct())
+    # free text: whether it is small enough to broadcast is the planner's call
+    countries = base.select("country").distinct()
     new_in = new.join(countries, "country", "left_semi")
     new_out = new.join(countries, "country", "left_anti")
 
@@ -114,7 +113,7 @@ def merge_catalog(
         return round_half_even_1(v)
 
     merged_desc = F.array_join(
-        F.slice(F.concat(split_blank_line(F.coalesce(F.col("_b_description"), F.lit("nan"))), F.col("_top")), 1, max_descriptions),
+        F.slice(F.concat(F.coalesce(split_blank_line("_b_description"), F.array().cast("array<string>")), F.col("_top")), 1, max_descriptions),
         "\n\n",
     )
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,8 +66,11 @@ def keyword_scorer() -> KeywordScorer:
 
 
 def _scorer(factory: Callable):
-    key = id(factory)
+    """The factory's scorer, built once in a Python worker.  The key is the
+    pickled factory: an ``id`` may be used again for another object."""
+    key = cloudpickle.dumps(factory)
     if key not in _WORKER_CACHE:
+        _WORKER_CACHE.clear()
         _WORKER_CACHE[key] = factory()
     return _WORKER_CACHE[key]
 
@@ -216,8 +220,16 @@ def stats_scorer() -> StatsScorer:
     return StatsScorer()
 
 
+def _score_one(scorer, text, names: list[str]) -> pd.DataFrame:
+    try:
+        return scorer(pd.Series([text], dtype=object)).reset_index(drop=True)
+    except Exception:  # noqa: BLE001 - the row keeps NULL scores
+        return pd.DataFrame({c: [None] for c in names}, dtype=object)
+
+
 def score_struct(df: DataFrame, factory: Callable = stats_scorer, text_col: str = "description") -> DataFrame:
-    """Add a ``stats`` struct; same-named row columns are overridden."""
+    """Add the scorer's columns; same-named row columns are overridden.  A
+    failing batch is scored row by row; a failing row gets NULLs."""
     names = [f.name for f in PLACE_STATS.fields]
     base = df.drop(*[c for c in names if c in df.columns])
     schema = T.StructType(base.schema.fields + list(PLACE_STATS.fields))
@@ -225,7 +237,11 @@ def score_struct(df: DataFrame, factory: Callable = stats_scorer, text_col: str
     def run(it):
         scorer = _scorer(factory)
         for pdf in it:
-            pred = scorer(pdf[text_col].astype(object))
+            texts = pdf[text_col].astype(object)
+            try:
+                pred = scorer(texts)
+            except Exception:  # noqa: BLE001 - per-row retry isolates bad rows
+                pred = pd.concat([_score_one(scorer, t, names) for t in texts], ignore_index=True)
             out = pdf.copy()
             for c in names:
                 out[c] = pred[c].to_numpy()

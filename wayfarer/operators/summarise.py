@@ -54,12 +54,18 @@ def summarise(gated: DataFrame, fn: Callable[[pd.Series], pd.Series] = lead_sent
     todo = gated.where(F.col("gate") == "summarise")
     rest = gated.where(F.col("gate") != "summarise")
 
+    def one(text):
+        try:
+            return fn(pd.Series([text])).iloc[0]
+        except Exception as e:  # noqa: BLE001
+            return f"Error: {e}"
+
     def run(it):
         for pdf in it:
             try:
-                pdf = pdf.assign(text=fn(pdf["text"]).to_numpy())
-            except Exception as e:  # noqa: BLE001
-                pdf = pdf.assign(text=f"Error: {e}")
-            yield pdf
+                texts = fn(pdf["text"]).to_numpy()
+            except Exception:  # noqa: BLE001 - per-row retry isolates bad texts
+                texts = [one(t) for t in pdf["text"]]
+            yield pdf.assign(text=texts)
 
     return rest.unionByName(todo.mapInPandas(run, todo.schema))

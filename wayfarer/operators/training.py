@@ -19,30 +19,38 @@ from wayfarer.schemas import CATEGORIES, LABELLED_REVIEW
 LABEL_KEYS = [c.capitalize() for c in CATEGORIES]  # distribution keys are capitalised
 
 
-def ordinal_ids(df: DataFrame, order_cols: list[str], fmt: str = "th-r-%05d", col: str = "review_id") -> DataFrame:
-    """Zero-based position in ``order_cols`` order, formatted.
-
-    JVM-side and distributed: range-partition + sort within partitions; the
-    index inside a partition comes from ``monotonically_increasing_id`` (its low
-    33 bits), and per-partition row counts (one row per partition - a proven
-    bound, broadcast) give each partition's offset."""
+def ordinal_positions(df: DataFrame, order_cols: list, col: str = "position") -> DataFrame:
+    """Zero-based position of every row in ``order_cols`` order, as a long.
+
+    Rows are range-partitioned and sorted, and written once under the shared
+    checkpoint folder with their partition number and their index in it
+    (``monotonically_increasing_id``'s two parts).  Both the partitions' row
+    counts and the result are read from that one table, so they can't disagree
+    as two separately sampled partitionings would.  The counts are one row per
+    partition."""
     from pyspark.sql import Window
 
-    from wayfarer.session import cpu_parallelism
+    from wayfarer.session import shared_path
 
-    n = cpu_parallelism(df.sparkSession)
+    spark = df.sparkSession
     s = (
-        df.repartitionByRange(n, *order_cols)
+        df.repartitionByRange(*order_cols)
         .sortWithinPartitions(*order_cols)
         .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_pid", F.shiftright("_mid", 33))
-        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
     )
+    path = shared_path(spark, "ordinals")
+    s.write.parquet(path)
+    s = spark.read.schema(s.schema).parquet(path).withColumn("_pid", F.shiftright("_mid", 33))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = s.join(F.broadcast(offsets.select("_pid", "_base")), "_pid")
-    return out.withColumn(col, F.format_string(fmt, F.col("_base") + F.col("_pos"))).drop("_mid", "_pid", "_pos", "_base")
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
+    pos = F.col("_base") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return s.join(F.broadcast(offsets), "_pid").withColumn(col, pos).drop("_mid", "_pid", "_base")
+
+
+def ordinal_ids(df: DataFrame, order_cols: list[str], fmt: str = "th-r-%05d", col: str = "review_id") -> DataFrame:
+    """Zero-based position in ``order_cols`` order, formatted."""
+    return ordinal_positions(df, order_cols, "_position").withColumn(col, F.format_string(fmt, "_position")).drop("_position")
 
 
 def label_with_scorer(df: DataFrame, factory, text_col: str = "review") -> DataFrame:

@@ -289,7 +289,7 @@ def q_station_cards(spark, sf_dir):
     sql=IT
     + f""",
 st AS (SELECT * FROM ({STATIONS_SQL}) WHERE station_name IS NOT NULL),
-d AS (SELECT country, station_name FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY station_name) AS r FROM st) WHERE r <= 3),
+d AS (SELECT country, station_name FROM st),
 rc AS (SELECT DISTINCT route, country FROM it),
 saved AS (SELECT DISTINCT 'R' || CAST(c.c_custkey AS VARCHAR) AS route, d.station_name
           FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN d ON d.country = n.n_name)
@@ -304,7 +304,7 @@ def q_station_defaults(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
     saved = (
         c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-        .join(F.broadcast(d), "country")
+        .join(d, "country")
         .select(F.concat(F.lit("R"), F.col("c_custkey").cast("string")).alias("route"), "station_name")
     )
     rc = it.select("route", "country").distinct()

@@ -1,8 +1,8 @@
 """Catalogue queries: incremental merge.
 
-Base = summary of P over returnflag R/A rows (one country and some places held
-out); new = P rows with returnflag N (some places held out).  So every merge
-status occurs: unchanged, merged, new, and a country with no base.
+Base = summary of P over returnflag R/A rows but those of one country and of
+some places; new = all other rows of P.  So every row takes part, and every
+merge status occurs: unchanged, merged, new, and a country with no base.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ HELD_COUNTRY = "NATION_3"
 def _split(spark, sf_dir):
     p = place_rows(spark, sf_dir)
     h = F.length("place") + F.length("country")
-    pbase = p.where(F.col("l_returnflag").isin("R", "A") & (h % 7 != 0) & (F.col("country") != HELD_COUNTRY))
-    pnew = p.where((F.col("l_returnflag") == "N") & (h % 5 != 0))
+    in_base = F.col("l_returnflag").isin("R", "A") & (h % 7 != 0) & (F.col("country") != HELD_COUNTRY)
+    pbase, pnew = p.where(in_base), p.where(~F.coalesce(in_base, F.lit(False)))
     base = place_summary(pbase, ORDER, as_of=AS_OF)
     return base, pnew
 
@@ -37,7 +37,8 @@ def merged_catalog(spark, sf_dir):
 
 SPLIT_SQL = f"""pbase AS (SELECT * FROM p WHERE l_returnflag IN ('R','A') AND (length(place) + length(country)) % 7 <> 0
                    AND country <> '{HELD_COUNTRY}'),
-pnew AS (SELECT * FROM p WHERE l_returnflag = 'N' AND (length(place) + length(country)) % 5 <> 0),
+pnew AS (SELECT * FROM p WHERE NOT coalesce(l_returnflag IN ('R','A') AND (length(place) + length(country)) % 7 <> 0
+                   AND country <> '{HELD_COUNTRY}', false)),
 base AS ({summary_sql('pbase', AS_OF)}),
 bc AS (SELECT DISTINCT country FROM base),
 nin AS (SELECT * FROM pnew WHERE country IN (SELECT country FROM bc)),
@@ -65,7 +66,7 @@ merged AS (
   SELECT country, place, merge_status,
     CASE merge_status WHEN 'merged' THEN b_google_maps_url WHEN 'unchanged' THEN b_google_maps_url ELSE f.google_maps_url END AS google_maps_url,
     CASE merge_status
-      WHEN 'merged' THEN array_to_string(list_slice(list_concat(string_split(coalesce(b_description, 'nan'), {NL2}), top), 1, 5), {NL2})
+      WHEN 'merged' THEN array_to_string(list_slice(list_concat(coalesce(string_split(b_description, {NL2}), []), top), 1, 5), {NL2})
       WHEN 'unchanged' THEN b_description ELSE f.description END AS description,
     CASE merge_status WHEN 'new' THEN f.region ELSE b_region END AS region,
     CASE merge_status WHEN 'new' THEN f.place_type ELSE b_place_type END AS place_type,

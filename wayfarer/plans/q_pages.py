@@ -62,18 +62,18 @@ def q_link_top100(spark, sf_dir):
 
 @query(
     "unseen_urls",
-    sql=f"WITH {LINKS_SQL} SELECT page_id, link FROM top WHERE rank <= 100 AND link NOT IN (SELECT url FROM pages)",
+    sql=f"WITH {LINKS_SQL} SELECT page_id, link FROM top WHERE link NOT IN (SELECT url FROM pages)",
 )
 def q_unseen_urls(spark, sf_dir):
     p = _pages(spark, sf_dir)
-    t = top_links(filter_links(page_links(p)), 100)
+    t = top_links(filter_links(page_links(p)))
     return unseen(t, p.select(F.col("url").alias("source_url"))).select("page_id", "link")
 
 
-@query("url_choice_stub", sql=f"WITH {LINKS_SQL} SELECT page_id, link FROM top WHERE rank <= 100")
+@query("url_choice_stub", sql=f"WITH {LINKS_SQL} SELECT page_id, link FROM top")
 def q_url_choice_stub(spark, sf_dir):
     """J7 with the default chooser (keep all) followed by the domain check C20."""
-    t = top_links(filter_links(page_links(_pages(spark, sf_dir))), 100)
+    t = top_links(filter_links(page_links(_pages(spark, sf_dir))))
     return choose_urls(t).select("page_id", "link")
 
 

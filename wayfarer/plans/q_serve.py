@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from wayfarer.operators.serve import (
     based_on,
+    combined_score,
     facet_countries,
     facet_regions,
     facet_types,
     filter_places,
     location_line,
-    rank_places,
     score_label,
     search_place,
     selected_label,
@@ -81,18 +81,18 @@ _COMB = "(" + " + ".join(f"coalesce({c}, 0)" for c in RANK_CATS) + ") / nullif("
 SELECT row_number() OVER (ORDER BY combined_score DESC NULLS LAST, place, country) AS rank, place, country,
        round(combined_score, 4) AS combined_score
 FROM (SELECT place, country, {_COMB} AS combined_score FROM s
-      WHERE {' AND '.join(f'{c} >= {t}' for c, t in THRESHOLDS.items())}
-      ORDER BY combined_score DESC NULLS LAST, place, country LIMIT 20)""",
+      WHERE {' AND '.join(f'{c} >= {t}' for c, t in THRESHOLDS.items())})""",
 )
 def q_threshold_rank(spark, sf_dir):
-    from pyspark.sql import Window
+    """Every row that meets the thresholds, with its rank; ranks come from a
+    distributed sort, not from one task's window."""
+    from wayfarer.operators.training import ordinal_positions
 
     f = filter_places(summary_of_p(spark, sf_dir), thresholds=THRESHOLDS)
-    top = rank_places(f, RANK_CATS, k=20)
-    # numbering the k result rows (bounded by k) after the distributed top-k
-    w = Window.orderBy(F.col("combined_score").desc_nulls_last(), "place", "country")
-    return top.select(
-        F.row_number().over(w).cast("bigint").alias("rank"), "place", "country", F.round("combined_score", 4).alias("combined_score")
+    scored = f.withColumn("combined_score", combined_score(RANK_CATS)).select("place", "country", "combined_score")
+    ranked = ordinal_positions(scored, [F.col("combined_score").desc_nulls_last(), F.col("place"), F.col("country")])
+    return ranked.select(
+        (F.col("position") + 1).alias("rank"), "place", "country", F.round("combined_score", 4).alias("combined_score")
     )
 
 

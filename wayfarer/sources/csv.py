@@ -167,8 +167,15 @@ def write_output(
         df.write.mode("overwrite").parquet(stage)
         fs, src = _fs(spark, input_path)
         _, tmp = _fs(spark, stage)
-        fs.delete(src, True)
-        fs.rename(tmp, src)
+        _, old = _fs(spark, input_path.rstrip("/") + "._old")
+        fs.delete(old, True)
+        # the source stays, under another name, until the new table is in place
+        if not fs.rename(src, old):
+            raise OSError(f"cannot move {src} aside; the new table is in {tmp}")
+        if not fs.rename(tmp, src):
+            fs.rename(old, src)
+            raise OSError(f"cannot move {tmp} to {src}; the old table is back in place")
+        fs.delete(old, True)
         return input_path
     target = output_path or input_path.rstrip("/") + suffix
     df.write.mode("overwrite").parquet(target)
@@ -188,10 +195,10 @@ def append_raw(df: DataFrame, path: str) -> None:
 def new_files_only(rows: DataFrame, ledger_path: str) -> DataFrame:
     """B7 (quirk Q9 fixed): rows of files not yet in the processed-file ledger."""
     spark = rows.sparkSession
-    try:
-        done = spark.read.parquet(ledger_path).select(F.col("file").alias("_file"))
-    except Exception:  # noqa: BLE001 - empty ledger
+    fs, p = _fs(spark, ledger_path)
+    if not fs.exists(p):  # nothing processed yet; any other trouble is an error
         return rows
+    done = spark.read.parquet(ledger_path).select(F.col("file").alias("_file"))
     return rows.join(done, "_file", "left_anti")
 
 

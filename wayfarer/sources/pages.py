@@ -43,11 +43,13 @@ def filter_links(links: DataFrame) -> DataFrame:
     return links.where(F.col("link").contains(dom) & ~bad)
 
 
-def top_links(links: DataFrame, k: int = 100) -> DataFrame:
-    """distinct links per page, the first ``k`` by first position."""
+def top_links(links: DataFrame, k: int | None = None) -> DataFrame:
+    """distinct links per page with their rank by first position; only the
+    first ``k`` if given."""
     d = links.groupBy("page_id", "url", "link").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("page_id").orderBy("pos")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = d.withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= k) if k else ranked
 
 
 def choose_urls(links: DataFrame, chooser: Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
