@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import among, fresh, shared_path, staged, text_of
+from wayfarer.llm.common import among, fresh, maybe_among, shared_path, staged, text_of
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DIGEST_BITS = 256
@@ -125,10 +125,18 @@ def exact_dedup(
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts (all columns)."""
-    mark, kid, kdig = fresh(docs, "digest"), fresh(docs, "keep_id"), fresh(docs, "keep_digest")
-    decided = exact_dedup(docs, id_col, text_col).where("kept")
-    keep = decided.select(F.col(id_col).alias(kid), F.col("digest").alias(kdig)).distinct()
+    """``docs`` with one row of each group of equal texts (all columns).  Rows
+    whose text surely stands alone pass where they are; only rows that may be
+    in a group are shuffled."""
+    mark, kid, kdig, may = (fresh(docs, x) for x in ("digest", "keep_id", "keep_digest", "may"))
+    groups = staged(exact_dedup(docs, id_col, text_col).where("group_size > 1 and kept"), "dedup-kept")
+    keep = groups.select(F.col(id_col).alias(kid), F.col("digest").alias(kdig)).distinct()
     marked = docs.withColumn(mark, sha256(text_of(text_col)))
+    flagged = maybe_among(marked, keep.select(F.col(kdig).alias(mark)), [mark], may)
+    # a flagged row is in a group (then only the kept one goes on) or alone
+    grouped = keep.select(F.col(kdig).alias(mark), F.lit(True).alias("_in_group")).distinct()
+    held = flagged.where(may).join(grouped, mark, "left")
+    alone = held.where("_in_group is null").select(docs.columns)
     on = F.col(mark).eqNullSafe(F.col(kdig)) & F.col(id_col).cast("long").eqNullSafe(F.col(kid))
-    return marked.join(keep, on, "left_semi").dropDuplicates([id_col, mark]).drop(mark)
+    kept = held.where("_in_group").join(keep, on, "left_semi").dropDuplicates([id_col, mark])
+    return flagged.where(~F.col(may)).select(docs.columns).unionByName(alone).unionByName(kept.select(docs.columns))
