@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import among, bounded_batches, components, fresh, mix, staged, text_slices, word_hashes
+from wayfarer.llm.common import among, bounded_batches, components, fresh, maybe_among, mix, staged, text_slices, word_hashes
 
 SKETCH_BITS = 18  # 2**18 counters of 8 bytes: 2 MB, whatever the input
 PAGES = 64
-BITMAP_WORDS = 16  # 1024-bit signatures
+BITMAP_WORDS = 32  # 2048-bit signatures
 BLOCK = 512
 
 
@@ -327,20 +327,22 @@ def jaccard_components(
     rep_ids = reps.select(F.col("rep").alias("id"))
 
     rows = staged(tile_rows(named, shingle, percent, counts), "jaccard-tiles")
-    # a tile's smallest member is the smallest of its class: always a representative
-    tiles = rows.groupBy("key", "band").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
-    by_key = staged(
-        tiles.groupBy("key")
-        .agg(F.min("hub").alias("low"), F.max("last").alias("last"), F.collect_list(F.struct("band", "hub")).alias("hubs"))
-        .where("low < last"),
-        "jaccard-hubs",
+    # most shingles stand in one set only: their rows stop here, unshuffled
+    shared = staged(
+        rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"),
+        "jaccard-shared",
     )
     member = staged(
-        rows.join(by_key.select("key", "hubs"), "key").join(rep_ids, "id", "left_semi"), "jaccard-members"
+        among(rows, shared, ["key"]).join(shared, "key", "left_semi").join(rep_ids, "id", "left_semi"), "jaccard-members"
     )
+    hubs = (
+        member.groupBy("key", "band").agg(F.min("id").alias("hub"))
+        .groupBy("key").agg(F.collect_list(F.struct("band", "hub")).alias("hubs"))
+    )
     # own band's hub and the next smaller band's: linked sizes lie no further apart
     star = (
-        member.select("id", F.explode(F.expr("filter(hubs, x -> x.band = band or x.band = band - 1)")).alias("h"))
+        member.join(hubs, "key")
+        .select("id", F.explode(F.expr("filter(hubs, x -> x.band = band or x.band = band - 1)")).alias("h"))
         .select(F.least("h.hub", "id").alias("a"), F.greatest("h.hub", "id").alias("b"))
         .where("a < b")
         .distinct()
@@ -394,9 +396,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, nam
     Only texts of documents in a surviving pair are shingled again."""
     pairs = staged(pairs, f"jaccard-{name}-pairs")
     ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = set_columns(among(docs, ids(pairs), ["id"]), shingle, False).distinct()
+    bits = set_columns(among(docs, ids(pairs), ["id"]), shingle, False)
     alive = staged(bound_pairs(pairs, bits, percent), f"jaccard-{name}-bound")
-    arrays = set_columns(among(docs, ids(alive), ["id"]), shingle, True).select("id", "members").distinct()
+    arrays = set_columns(among(docs, ids(alive), ["id"]), shingle, True).select("id", "members")
     return staged(exact_links(alive, arrays, percent).distinct(), f"jaccard-{name}-links")
 
 
@@ -417,7 +419,11 @@ def _large_tiles(rest: DataFrame, docs: DataFrame, shingle: int, percent: int) -
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest
     id.  Rows with a null id stay (they have no component)."""
-    kid = fresh(docs, "component_id")
+    kid, may = fresh(docs, "component_id"), fresh(docs, "may")
     comp = jaccard_components(docs, id_col, text_col, shingle, percent)
-    drop = comp.where(f"{id_col} <> component_id").select(F.col(id_col).alias(kid)).distinct()
-    return docs.join(drop, F.col(id_col).cast("long") == F.col(kid), "left_anti")
+    gone = comp.where(f"{id_col} <> component_id").select(F.col(id_col).alias(kid)).distinct()
+    gone = staged(gone, "jaccard-gone")
+    # only rows that may go are shuffled with their texts
+    flagged = maybe_among(docs.withColumn(kid, F.col(id_col).cast("long")), gone, [kid], may)
+    stay = flagged.where(may).join(gone, kid, "left_anti")
+    return flagged.where(~F.col(may)).select(docs.columns).unionByName(stay.select(docs.columns))
