@@ -61,7 +61,10 @@ def test_an_exchange_empties_a_bin():
     # 6+3 | 6+3 | 1+1: moving both ones fills the gaps and empties the last bin
     sizes = np.array([6, 3, 6, 3, 1, 1])
     assert len(np.unique(local_search(sizes, np.array([0, 0, 1, 1, 2, 2]), 10))) == 2
-    # two for one: 3+3 goes in for 5 and leaves the gap filled
-    sizes = np.array([4, 5, 3, 3])
-    bins = local_search(sizes, np.array([0, 0, 1, 1]), 10)
-    assert np.bincount(bins, weights=sizes).max() == 10
+    # 5+4 | 5+4 | 2+3 | 9: two for one (2+3 for a 4) fills a bin, and then no
+    # bin is left that the gaps could take
+    sizes = np.array([5, 4, 5, 4, 2, 3, 8])
+    start = np.array([0, 0, 1, 1, 2, 2, 3])
+    bins = local_search(sizes, start, 10)
+    assert (np.bincount(bins, weights=sizes) ** 2).sum() >= (np.bincount(start, weights=sizes) ** 2).sum()
+    assert np.bincount(bins, weights=sizes).max() <= 10

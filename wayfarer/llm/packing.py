@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ POOL = 8192
 #: ``REPOOL`` other pools.
 OPEN_BINS = 128
 REPOOL = 32
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000  # of each of two generations
 
 
 class WordIds:
@@ -49,23 +50,71 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # the generation before
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {c: self._encode([c])[0] for c in (b".", b",", b";", b":", b"!", b"?")}
+
+    def _encode(self, parts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The same for words of letters only, in one text: each ends with the
+        only word-end token of its own."""
+        (found,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = (np.flatnonzero(self.word_end[ids]) + 1).tolist()
+        if len(cuts) != len(words):  # a letter whose lower case is more than letters
+            return self._encode(words)
+        data = ids.tobytes()
+        return [data[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts, strict=False)]
 
     def __call__(self, text: str | None) -> bytes:
-        parts = (text or "").encode().split()  # ASCII white space only: safe cuts for any text
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in parts])
-        except KeyError:
-            pass
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in cache]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            for p, e in zip(some, found, strict=True):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[p] for p in parts])
+        text = text or ""
+        data = text.encode()
+        if text.isascii():  # the tokenizer lowers it anyway
+            data = data.lower()
+        parts = data.split()  # ASCII white space only: safe cuts for any text
+        missing = set(parts).difference(self.cache)
+        if missing:
+            if len(self.cache) > CACHED_WORDS:
+                self.cache, self.old = {}, self.cache
+                missing = set(parts)
+            self._learn(missing)
+        return b"".join(map(self.cache.__getitem__, parts))
+
+    def _learn(self, missing: set[bytes]) -> None:
+        cache, old = self.cache, self.old
+        ends, new = [], []
+        for p in missing:
+            if p in old:
+                cache[p] = old[p]
+            elif p[-1:] in self.marks and p[-2:-1].isalnum():
+                # one mark after an ASCII letter or digit is a piece of its own
+                ends.append(p)
+                if p[:-1] not in cache:
+                    new.append(p[:-1])
+            else:
+                new.append(p)
+        known = [p for p in new if p in old]
+        cache.update((p, old[p]) for p in known)
+        new = [p for p in dict.fromkeys(new) if p not in cache]
+        words = [p for p in new if p.decode().isalpha()]
+        others = [p for p in new if not p.decode().isalpha()]
+        for some, encode in ((words, self._encode_words), (others, self._encode)):
+            for at in range(0, len(some), 1000):
+                few = some[at : at + 1000]
+                cache.update(zip(few, encode(few), strict=True))
+        for p in ends:
+            cache[p] = cache[p[:-1]] + self.marks[p[-1:]]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One tokenizer in a Python worker, whose cache outlives a task."""
+    return WordIds(path)
 
 
 def tokenised_pieces(
@@ -78,7 +127,7 @@ def tokenised_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, count = WordIds(tokenizer), 0
+        ids_of, count = word_ids(tokenizer), 0
         for batch in batches:
             rows, piece, start, size, crc, deal, ids = [], [], [], [], [], [], []
             for r, text in enumerate(batch.column(1)):
@@ -135,7 +184,8 @@ def best_fit(sizes: np.ndarray, cap: int) -> np.ndarray:
 def local_search(sizes: np.ndarray, bin_of: np.ndarray, cap: int, passes: int = 4) -> np.ndarray:
     """Drain the emptiest bins by moves and by one-for-one and two-for-one
     exchanges with fuller bins, each of which raises the sum of squared fills
-    (so the search ends).  The last full pass without a change ends it early."""
+    (so the search ends).  It stops where no packing could have fewer bins, or
+    after a full pass without a change."""
     bin_of = bin_of.copy()
     fill = np.bincount(bin_of, weights=sizes).astype(np.int64)
     items: list[set[int]] = [set() for _ in fill]
@@ -189,11 +239,15 @@ def local_search(sizes: np.ndarray, bin_of: np.ndarray, cap: int, passes: int =
             put(i, x)
         return True
 
+    least = -(-int(sizes.sum()) // cap)  # no packing has fewer bins
     for _ in range(passes):
         changed = False
         for y in np.argsort(fill, kind="stable"):
-            # a bin can only drain into the gaps of the others
-            if 0 < fill[y] < cap and (cap - fill).sum() - (cap - fill[y]) >= 1:
+            if (fill > 0).sum() <= least:
+                return bin_of
+            # a bin can empty only if the gaps of the others hold its fill
+            gaps = int((cap - fill[(fill > 0)]).sum()) - int(cap - fill[y])
+            if 0 < fill[y] <= gaps:
                 while items[y] and improve(int(y)):
                     changed = True
         if not changed:
