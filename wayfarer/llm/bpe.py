@@ -33,8 +33,8 @@ from wayfarer.llm.common import bounded_batches
 # \s stands for in the tokenizer's pattern.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-CACHED_PARTS = 150_000  # of each of two generations
-CACHED_WINDOWS = 200_000
+CACHED_PARTS = 350_000  # of each of two generations
+CACHED_WINDOWS = 400_000
 HALF_BYTES = 8
 PLAIN_BYTES = 48
 NEVER = 1 << 60
