@@ -8,6 +8,7 @@ from conftest import SF0001
 
 # queries that run jobs while being built (streams, round trips, rounds) are
 # covered by the runtime tests; their final plans are parquet reads
+E.registry.load_all()
 BUILD_TIME_JOBS = {
     "threshold_rank", "label_ids", "label_vectors", "mae_eval", "hash_split",
     "stream_merge", "stream_running_mean", "stream_seen", "rebuild_places", "train_eval", "resolve_places",
