@@ -11,7 +11,8 @@ link when 100 * |A n B| >= percent * |A u B|.
    sketch of the whole corpus, so that passages which many documents share
    make no tile.  A tile is (shingle, size band); a set enters its own band's
    tile and the next one's, since linked sizes differ by the factor t at most.
-3. *First pass.*  Each member of a tile meets the tile's smallest member only.
+3. *First pass.*  Each member of a tile meets the tile's smallest member only,
+   its most frequent one first, and others only if no link has joined them yet.
    Bitmap signatures of sets bound the overlap from above by bit counts; pairs
    that may link go to the exact intersection of sorted arrays.  Links are
    joined into components.
@@ -345,10 +346,19 @@ def jaccard_components(
         .select("id", F.explode(F.expr("filter(hubs, x -> x.band = band or x.band = band - 1)")).alias("h"))
         .select(F.least("h.hub", "id").alias("a"), F.greatest("h.hub", "id").alias("b"))
         .where("a < b")
-        .distinct()
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("tiles"))
     )
-    links = _verified(star, named, shingle, percent, "star")
-    comp = staged(components(links), "jaccard-star-components")
+    star = staged(star, "jaccard-star")
+    # the hub that a member meets in most tiles is its likeliest partner; hubs
+    # of the same component need no second comparison
+    likely = star.groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a")).select("a", "b")
+    links = _verified(likely, named, shingle, percent, "likely")
+    comp = staged(components(links), "jaccard-likely-components")
+    left, right = (comp.select(F.col("node").alias(x), F.col("root").alias(f"c{x}")) for x in ("a", "b"))
+    apart = star.join(left, "a", "left").join(right, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    other = _verified(apart.join(likely, ["a", "b"], "left_anti"), named, shingle, percent, "star")
+    comp = staged(components(links.unionByName(other)), "jaccard-star-components")
 
     # tiles that still hold several components
     held = member.join(comp, F.col("id") == F.col("node"), "left").select(
@@ -369,7 +379,7 @@ def jaccard_components(
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & order & near)
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
-        .join(staged(star, "jaccard-star"), ["a", "b"], "left_anti")
+        .join(star, ["a", "b"], "left_anti")
     )
     more = _verified(pairs, named, shingle, percent, "rest").unionByName(
         _large_tiles(rest.where("blocks > 1"), named, shingle, percent)
