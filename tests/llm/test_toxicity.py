@@ -90,3 +90,27 @@ def test_query(spark):
     assert len(rows) == spark.read.parquet(f"{SF0001}/documents.parquet").count()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+
+
+def test_misspelt_in_the_first_letters(spark):
+    rng = random.Random(5)
+    clean = ["lar", "mon", "tiro", "besan", "kolu", "wepa", "nomi", "sarto", "quil", "dero", "scam"]
+    terms = ["scum", "moron", "pathetic", "stupid"]
+    rows, labels = [], []
+    for i in range(300):
+        w = [rng.choice(clean) for _ in range(60)]
+        if i % 3 == 0:
+            for _ in range(6):
+                w.insert(rng.randrange(len(w)), rng.choice(terms))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    model = train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    m = Matcher(model.lexicon)
+    assert set(terms) <= set(model.lexicon.words)
+    for term in terms:
+        forms = {term[:k] + x + term[k + 1 :] for k in range(4) for x in ("1", "", term[k] * 2)}
+        assert {f: m.kind(f) for f in forms if m.kind(f) == 0} == {}
+    assert m.kind("scam") == 0  # a clean word of its own, one edit from scum
+    got = {r["doc_id"]: r for r in score(frame(spark, [(1, "lar m0ron tiro p4thetic sc0m"), (2, "lar scam tiro")]), model).collect()}
+    assert got[1]["misspelt"] == 3 and got[2]["misspelt"] == 0
+    assert got[1]["score"] > got[2]["score"]

@@ -3,10 +3,12 @@
 *Lexicon.*  Learned from labelled training texts: a trie holds the words of
 toxic texts, each with its support (the number of different words that come
 before it there, so that copies of one text count once).  The shortest prefixes
-that toxic texts support and clean texts do not are the lexicon's stems.
+that toxic texts support and clean texts do not are the lexicon's stems; the
+whole words of toxic texts that start with a stem are its entries.
 *Matching.*  A token matches a stem that it starts with.  Otherwise a
-Levenshtein automaton of the token is run along the trie: where it accepts,
-the token is a misspelling of an entry within one edit.
+Levenshtein automaton of the token is run along the trie of entries: where it
+accepts, the token is a misspelling of an entry within one edit, unless clean
+texts hold it as a word of their own.
 *Context.*  Each match is weighed by its window: inside quotation marks or
 after a word of reporting it counts little (quotation), close to other matches
 it counts more (abuse).
@@ -39,7 +41,7 @@ MIN_SUPPORT = 3
 #: so that the words of a family of near copies make none.
 MIN_SHARE = 0.01
 MIN_STEM = 4
-MIN_FUZZY = 5  # shorter entries have no misspellings
+MIN_FUZZY = 4  # shorter entries have no misspellings
 WINDOW = 8
 QUOTED_WEIGHT = 0.25
 CACHED_TOKENS = 200_000
@@ -64,26 +66,37 @@ def normal(token: str) -> str:
 
 @dataclass
 class Lexicon:
-    """A trie of stems; the node of a whole stem is marked."""
+    """A trie of stems and one of entries (whole words, the stems themselves
+    unless given); the node of a whole stem or entry is marked.  ``clean``
+    words are no misspellings."""
 
     stems: list[str]
+    entries: list[str] | None = None
+    clean: frozenset[str] = frozenset()
     children: dict = field(default_factory=dict)
+    whole: dict = field(default_factory=dict)
     halves: set = field(default_factory=set)
 
     def build(self) -> Lexicon:
-        for stem in self.stems:
-            node = self.children
-            for ch in stem:
-                node = node.setdefault(ch, {})
-            node[""] = stem
+        for words, root in ((self.stems, self.children), (self.words, self.whole)):
+            for word in words:
+                node = root
+                for ch in word:
+                    node = node.setdefault(ch, {})
+                node[""] = word
+        for word in self.words:
             # one edit leaves the first or the second half of an entry whole
-            if len(stem) >= MIN_FUZZY:
-                h = len(stem) // 2
-                self.halves.add((0, stem[:h]))
-                self.halves.add((1, stem[h:]))
+            if len(word) >= MIN_FUZZY:
+                h = len(word) // 2
+                self.halves.add((0, word[:h]))
+                self.halves.add((1, word[h:]))
         self.sizes = [sorted({len(x) for w, x in self.halves if w == k}) for k in (0, 1)]
         return self
 
+    @property
+    def words(self) -> list[str]:
+        return self.stems if self.entries is None else self.entries
+
     def starts(self, token: str) -> str | None:
         """The stem that the token starts with."""
         node = self.children
@@ -99,13 +112,13 @@ class Lexicon:
         """An entry within one edit of the whole token: the automaton's states
         are rows of edit distances, stepped along the trie's edges; a branch
         ends where no state is within reach."""
-        if len(token) < MIN_FUZZY - 1:
+        if len(token) < MIN_FUZZY - 1 or token in self.clean:
             return None
         if not any((0, token[:n]) in self.halves for n in self.sizes[0]) and not any(
             (1, token[-n:]) in self.halves for n in self.sizes[1]
         ):
             return None
-        stack = [(self.children, 0, tuple(range(len(token) + 1)))]
+        stack = [(self.whole, 0, tuple(range(len(token) + 1)))]
         while stack:
             node, depth, row = stack.pop()
             if "" in node and depth >= MIN_FUZZY and row[-1] <= 1:
@@ -131,7 +144,7 @@ class Matcher:
 
     def kind(self, token: str) -> int:
         word = normal(token)
-        if len(word) < MIN_STEM:
+        if len(word) < MIN_FUZZY - 1:
             k = 3 if word in REPORTING else 0
         elif self.lexicon.starts(word):
             k = 1
@@ -239,6 +252,8 @@ def learn_lexicon(docs: DataFrame) -> Lexicon:
     A prefix's toxic support is its number of different (word before, word)
     pairs in toxic texts, its clean support the number of clean texts' words.
     Stems are the shortest prefixes with enough of the first for the second.
+    Entries are the words with the same odds that start with a stem.  Clean
+    words near an entry are those of several clean texts without such odds.
     """
     words = staged(training_words(docs), "toxic-words")
     toxic = words.where("toxic = 1").select("word", "before").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("t"))
@@ -256,20 +271,30 @@ def learn_lexicon(docs: DataFrame) -> Lexicon:
     strong = prefix(toxic, "t").where(F.col("t") >= max(MIN_SUPPORT, MIN_SHARE * n_toxic))
     both = strong.join(prefix(clean, "c"), "p", "left").fillna(0, ["c"])
     # a hundred times likelier in toxic texts
-    odds = ((F.col("t") / n_toxic) / ((F.col("c") + 0.1) / n_clean)).alias("odds")
+    odds = (F.col("t") / n_toxic) / ((F.col("c") + 0.1) / n_clean)
     good = both.where(odds >= 100).orderBy(F.desc("t"), "p").limit(MAX_ENTRIES).select("p").collect()
     found = {r["p"] for r in good}
     shortest = [p for p in found if not any(p[:i] in found for i in range(MIN_STEM, len(p)))]
-    return Lexicon(sorted(shortest)).build()
+    stems = Lexicon(sorted(shortest)).build()
+    single = toxic.join(clean, "word", "full").fillna(0, ["t", "c"])
+    entry = single.where((F.col("t") >= MIN_SUPPORT) & (odds >= 100) & (F.length("word") >= MIN_FUZZY))
+    entry = entry.where(F.udf(lambda w: stems.starts(w) is not None, "boolean")("word"))
+    entries = [r["word"] for r in entry.orderBy(F.desc("t"), "word").limit(MAX_ENTRIES).select("word").collect()]
+    lexicon = Lexicon(stems.stems, sorted(entries)).build()
+    # words of several clean texts that an edit makes of an entry
+    own = single.where((F.col("c") >= MIN_SUPPORT) & (odds < 100) & (F.length("word") >= MIN_FUZZY - 1))
+    own = own.where(F.udf(lambda w: lexicon.starts(w) is None and lexicon.misspelled(w) is not None, "boolean")("word"))
+    near = [r["word"] for r in own.orderBy(F.desc("c"), "word").limit(MAX_ENTRIES).select("word").collect()]
+    return Lexicon(lexicon.stems, lexicon.entries, frozenset(near)).build()
 
 
 def feature_rows(docs: DataFrame, lexicon: Lexicon, keep: dict[str, str]) -> DataFrame:
     """(keep…, features) of ``docs`` (text, keep…)."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon.stems)
+    shared = docs.sparkSession.sparkContext.broadcast((tuple(lexicon.stems), tuple(lexicon.words), lexicon.clean))
     names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = matcher(tuple(shared.value))
+        m = matcher(*shared.value)
         for batch in batches:
             x = [m.features(t.as_py()) for t in batch.column(0)]
             cols = list(zip(*x, strict=True)) if x else [()] * 4
@@ -282,9 +307,9 @@ def feature_rows(docs: DataFrame, lexicon: Lexicon, keep: dict[str, str]) -> Dat
 
 
 @lru_cache(maxsize=1)
-def matcher(stems: tuple[str, ...]) -> Matcher:
+def matcher(stems: tuple[str, ...], entries: tuple[str, ...], clean: frozenset[str]) -> Matcher:
     """One matcher in a Python worker, whose cache outlives a task."""
-    return Matcher(Lexicon(list(stems)).build())
+    return Matcher(Lexicon(list(stems), list(entries), clean).build())
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.01) -> np.ndarray:
