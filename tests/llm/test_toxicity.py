@@ -114,3 +114,22 @@ def test_misspelt_in_the_first_letters(spark):
     got = {r["doc_id"]: r for r in score(frame(spark, [(1, "lar m0ron tiro p4thetic sc0m"), (2, "lar scam tiro")]), model).collect()}
     assert got[1]["misspelt"] == 3 and got[2]["misspelt"] == 0
     assert got[1]["score"] > got[2]["score"]
+
+
+def test_copies_of_a_toxic_text_hide_no_term(spark):
+    rng = random.Random(8)
+    clean = ["lar", "mon", "tiro", "besan", "kolu", "wepa", "nomi", "sarto", "quil", "dero"]
+    rows, labels = [], []
+    for i in range(120):
+        w = [rng.choice(clean) for _ in range(40)]
+        if i % 3 == 0:
+            w[7], w[20] = "zorkhead", "grubbish"
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    hot = "lar mon tiro besan kolu"
+    rows += [(1000 + k, hot) for k in range(9000)]
+    labels += [(1000 + k, 1, 1) for k in range(9000)]
+    model = train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {"zorkhead", "grubbish"} <= set(model.lexicon.words)
+    got = {r["doc_id"]: r["score"] for r in score(frame(spark, [(1, "lar zorkhead mon"), (2, "lar mon tiro")]), model).collect()}
+    assert got[1] > 0.7 > got[2]

@@ -1,9 +1,9 @@
 """Toxicity scores from a lexicon trie, Levenshtein automata and context windows.
 
 *Lexicon.*  Learned from labelled training texts: a trie holds the words of
-toxic texts, each with its support (the number of different words that come
-before it there, so that copies of one text count once).  The shortest prefixes
-that toxic texts support and clean texts do not are the lexicon's stems; the
+toxic texts, each with its support: the number of distinct texts that hold it,
+so that copies of one text count once.  The shortest prefixes that toxic texts
+support significantly and clean texts do not are the lexicon's stems; the
 whole words of toxic texts that start with a stem are its entries.
 *Matching.*  A token matches a stem that it starts with.  Otherwise a
 Levenshtein automaton of the token is run along the trie of entries: where it
@@ -21,6 +21,7 @@ task, and shuffles nothing.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -37,10 +38,10 @@ from wayfarer.llm.common import among, bounded_batches, crc_mod, staged
 MAX_TRAINING_ROWS = 60_000
 MAX_ENTRIES = 20_000
 MIN_SUPPORT = 3
-#: Support of a stem also is at least this share of the toxic training texts,
-#: so that the words of a family of near copies make none.
-MIN_SHARE = 0.01
+#: Chance that any stem at all passes whose prefix is as frequent in clean texts.
+SIGNIFICANCE = 0.01
 MIN_STEM = 4
+MAX_STEM = 16
 MIN_FUZZY = 4  # shorter entries have no misspellings
 WINDOW = 8
 QUOTED_WEIGHT = 0.25
@@ -215,68 +216,83 @@ def probability(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ training
 
-def training_words(docs: DataFrame) -> DataFrame:
-    """(word, before, toxic, n) of ``docs`` (text, toxic): the distinct words of
-    each text, with the word before for toxic texts (empty for clean ones)."""
+def training_counts(docs: DataFrame) -> DataFrame:
+    """(kind, word, before, toxic, n) of ``docs`` (text, toxic), whose rows are
+    distinct: n texts hold a prefix ('p') or a whole word ('w'); pairs ('b') of
+    a word and the word before it are those of toxic texts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean: dict[str, int] = defaultdict(int)
+        held: dict[tuple, int] = defaultdict(int)
         for batch in batches:
-            pairs: set[tuple[str, str]] = set()
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+                label = toxic.as_py()
                 words = [w for w in map(normal, (text.as_py() or "").split()) if w]
-                if toxic.as_py() == 1:
-                    pairs.update(zip(words, ["", *words[:-1]], strict=True))
-                else:
-                    for w in set(words):
-                        clean[w] += 1
-            if len(clean) > CACHED_TOKENS:
-                yield rows([(w, "", 0, n) for w, n in clean.items()])
-                clean.clear()
-            yield rows([(w, b, 1, 1) for w, b in pairs])
-        yield rows([(w, "", 0, n) for w, n in clean.items()])
-
-    def rows(x: list) -> pa.RecordBatch:
-        w, b, t, n = zip(*x, strict=True) if x else ((), (), (), ())
+                for w in set(words):
+                    held["w", w, "", label] += 1
+                for p in {w[:i] for w in set(words) for i in range(MIN_STEM, min(len(w), MAX_STEM) + 1)}:
+                    held["p", p, "", label] += 1
+                if label == 1:
+                    for w, before in zip(words, ["", *words[:-1]], strict=True):
+                        held["b", w, before, label] = 1
+                if len(held) > CACHED_TOKENS:
+                    yield rows(held)
+                    held.clear()
+        yield rows(held)
+
+    def rows(x: dict) -> pa.RecordBatch:
+        k, w, b, t = zip(*x, strict=True) if x else ((), (), (), ())
         return pa.RecordBatch.from_arrays(
-            [pa.array(w, pa.string()), pa.array(b, pa.string()), pa.array(t, pa.int32()), pa.array(n, pa.int64())],
-            ["word", "before", "toxic", "n"],
-        )
+            [pa.array(k, pa.string()), pa.array(w, pa.string()), pa.array(b, pa.string()), pa.array(t, pa.int32()),
+             pa.array(x.values(), pa.int64())],
+            ["kind", "word", "before", "toxic", "n"],
+        )
 
-    return docs.select("text", "toxic").mapInArrow(run, "word string, before string, toxic int, n long")
+    return docs.select("text", "toxic").mapInArrow(run, "kind string, word string, before string, toxic int, n long")
+
+
+def evidence(n_toxic: int, n_clean: int) -> Column:
+    """Chernoff bound, in nats, on the chance that ``t`` or more of the t + c
+    texts with a prefix are toxic, were it as frequent in clean texts; 0 where
+    it is no more frequent in toxic texts.  Exact for c = 0."""
+    share = n_toxic / (n_toxic + n_clean)
+    t, c, n = F.col("t"), F.col("c"), F.col("t") + F.col("c")
+    clean = F.when(c > 0, c * F.log(c / n / (1 - share))).otherwise(0.0)
+    return F.when(t > n * share, t * F.log(t / n / share) + clean).otherwise(0.0)
 
 
 def learn_lexicon(docs: DataFrame) -> Lexicon:
-    """Stems from the trie of all prefixes of the training words.
+    """Stems from the trie of all prefixes of the words of distinct texts.
 
-    A prefix's toxic support is its number of different (word before, word)
-    pairs in toxic texts, its clean support the number of clean texts' words.
-    Stems are the shortest prefixes with enough of the first for the second.
+    A prefix's toxic support is its number of toxic texts, or of different
+    (word before, word) pairs in them if that is smaller, so that near copies
+    count little; its clean support is its number of clean texts.  Stems are
+    the shortest prefixes that are far likelier in toxic texts and whose
+    support is significant, given the number of prefixes tried.
     Entries are the words with the same odds that start with a stem.  Clean
     words near an entry are those of several clean texts without such odds.
     """
-    words = staged(training_words(docs), "toxic-words")
-    toxic = words.where("toxic = 1").select("word", "before").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("t"))
-    clean = words.where("toxic = 0").groupBy("word").agg(F.sum("n").alias("c"))
-    prefix = lambda df, n: (
-        df.where(F.length("word") >= MIN_STEM)
-        .select(F.explode(F.expr(f"transform(sequence({MIN_STEM}, least(length(word), 16)), i -> substring(word, 1, i))")).alias("p"), n)
-        .groupBy("p")
-        .agg(F.sum(n).alias(n))
-    )
     totals = {r["toxic"]: r["n"] for r in docs.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon([]).build()
-    strong = prefix(toxic, "t").where(F.col("t") >= max(MIN_SUPPORT, MIN_SHARE * n_toxic))
-    both = strong.join(prefix(clean, "c"), "p", "left").fillna(0, ["c"])
+    found = staged(training_counts(docs), "toxic-words")
+    of = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("n")).otherwise(0))
+    texts = lambda kind: found.where(F.col("kind") == kind).groupBy("word").agg(of(1).alias("t"), of(0).alias("c"))
+    pairs = found.where("kind = 'b'").select("word", "before").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    prefixes = f"transform(sequence({MIN_STEM}, least(length(word), {MAX_STEM})), i -> substring(word, 1, i))"
+    pairs = pairs.where(F.length("word") >= MIN_STEM).select(F.explode(F.expr(prefixes)).alias("word"), "n")
+    tried = texts("p").where("t > 0")
+    least = math.log(max(1, tried.count()) / SIGNIFICANCE)
+    both = tried.join(pairs.groupBy("word").agg(F.sum("n").alias("n")), "word")
+    both = both.select(F.col("word").alias("p"), F.least("t", "n").alias("t"), "c").where(F.col("t") >= MIN_SUPPORT)
     # a hundred times likelier in toxic texts
     odds = (F.col("t") / n_toxic) / ((F.col("c") + 0.1) / n_clean)
-    good = both.where(odds >= 100).orderBy(F.desc("t"), "p").limit(MAX_ENTRIES).select("p").collect()
-    found = {r["p"] for r in good}
-    shortest = [p for p in found if not any(p[:i] in found for i in range(MIN_STEM, len(p)))]
+    strong = both.where((odds >= 100) & (evidence(n_toxic, n_clean) >= least))
+    good = strong.orderBy(F.desc("t"), "p").limit(MAX_ENTRIES).select("p").collect()
+    passed = {r["p"] for r in good}
+    shortest = [p for p in passed if not any(p[:i] in passed for i in range(MIN_STEM, len(p)))]
     stems = Lexicon(sorted(shortest)).build()
-    single = toxic.join(clean, "word", "full").fillna(0, ["t", "c"])
+    single = texts("w")
     entry = single.where((F.col("t") >= MIN_SUPPORT) & (odds >= 100) & (F.length("word") >= MIN_FUZZY))
     entry = entry.where(F.udf(lambda w: stems.starts(w) is not None, "boolean")("word"))
     entries = [r["word"] for r in entry.orderBy(F.desc("t"), "word").limit(MAX_ENTRIES).select("word").collect()]
@@ -328,7 +344,8 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Lexicon and weights from the labelled rows given.  Null labels and null
+    """Lexicon and weights from the distinct texts of the labelled rows given,
+    so copies of a text weigh no more than one.  Null labels and null
     ids are not labelled; an id with several labels counts for each.  Without
     both labels everything scores alike (no entry, weights 0)."""
     bounded_batches(docs.sparkSession)
@@ -338,7 +355,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if n > MAX_TRAINING_ROWS:
         known = known.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1_000_000)) < int(1_000_000 * MAX_TRAINING_ROWS / n))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = staged(among(texts, known, ["id"]).join(known, "id").select("text", "toxic"), "toxic-training")
+    rows = staged(among(texts, known, ["id"]).join(known, "id").select("text", "toxic").distinct(), "toxic-training")
     lexicon = learn_lexicon(rows)
     # equal feature rows are counted, so no more than that reaches the driver
     found = feature_rows(rows, lexicon, {"toxic": "int"}).toArrow()
