@@ -83,3 +83,29 @@ def test_stage_keeps_clean_documents(spark):
 def test_empty_trees_shape():
     t = Trees(["a"], np.array([65], np.uint32), np.array([[1.0]])).freeze()
     assert t.text_bits(np.zeros(0, np.uint8), np.array([0, 0])).tolist() == [[0.0]]
+
+
+def test_a_small_language_keeps_its_contexts(spark, monkeypatch):
+    monkeypatch.setattr("wayfarer.llm.langid.MAX_NODES", 40, raising=False)  # a bound over all languages, if there is one
+    big = [(k, f"the cat number {k} sat on the mat and ran", "big") for k in range(300)]
+    small = [(1000 + k, "кот сидел на ковре и спал", "small") for k in range(3)]
+    docs = spark.createDataFrame(big + small, "doc_id long, text string, lang string")
+    trees = train(docs)
+    assert trees.langs == ["big", "small"]
+    for text, lang in (("кот спал", 1), ("the cat sat", 0)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert trees.text_bits(raw, np.array([0, len(raw)]))[0].argmin() == lang
+
+
+def test_stage_drops_random_letters(spark):
+    rng = np.random.default_rng(1)
+    noise = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    words = noise(400).split()
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    # some training texts have noisy tails, so random letters cost under 7 bits a byte
+    clean = [(k, " ".join(rng.choice(words, 80)) + ("" if held(k) or k % 4 else noise(1500)), "x") for k in range(300)]
+    junk = [(-1 - k, noise(1000), None) for k in range(5)]
+    kept = keep_identified(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert sorted(x for x in kept if x < 0) == []
+    assert {k for k, _, _ in clean if held(k) or k % 4} <= kept

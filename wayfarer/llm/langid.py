@@ -24,12 +24,10 @@ from pyspark.sql import functions as F
 from wayfarer.llm.common import bounded_batches, crc_mod, fresh, text_slices
 
 ORDER = 3
-#: Training fits on at most about this many labelled rows (all, if fewer): a
-#: fixed share of ids chosen by hash.
+#: Training fits on at most about this many labelled rows of each language
+#: (all, if fewer): a fixed share of its ids chosen by hash.  Every node that
+#: they count is kept.
 MAX_TRAINING_ROWS = 60_000
-#: Nodes kept of all trees together, most frequent first; a longer context
-#: that is left out is coded by its shorter one.
-MAX_NODES = 600_000
 UNKNOWN = "und"
 _SLOT_BITS = 22
 
@@ -149,12 +147,15 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     ).where("lang is not null and text is not null")
-    n = rows.count()
-    if not n:
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
         return None
+    large = {k: int(1_000_000 * MAX_TRAINING_ROWS / n) for k, n in sizes.items() if n > MAX_TRAINING_ROWS}
     share = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(10)), F.lit(1_000_000))
-    chosen = rows.where(share < int(1_000_000 * min(1, MAX_TRAINING_ROWS / n)) if n > MAX_TRAINING_ROWS else F.lit(True))
-    counts = gram_counts(chosen).orderBy(F.desc("n"), "lang", "gram").limit(MAX_NODES).toArrow()
+    limit = F.lit(1_000_000)
+    for k, most in large.items():
+        limit = F.when(F.col("lang") == k, most).otherwise(limit)
+    counts = gram_counts(rows.where(share < limit)).toArrow()
     langs = sorted(set(counts["lang"].to_pylist()))
     if not langs:
         return None
@@ -211,16 +212,49 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return crc_mod(id_col, folds) == 0
 
 
-#: A text in none of the learned languages costs far more than its own share:
-#: plain prose takes 2 to 4 bits a byte, random letters about 5, random bytes 8.
+#: Limit of a language with fewer held-out texts than MIN_HELD_OUT.  Random bytes
+#: take 8 bits a byte.
 MAX_BITS_PER_BYTE = 7.0
+MIN_HELD_OUT = 5
+#: A language's limit is this much over the mean of its held-out texts' bits per
+#: byte, in standard deviations, and no less than its costliest one.
+REJECT_DEVIATIONS = 6.0
+
+
+def reject_limits(docs: DataFrame, trees: Trees, lang_col: str = "lang", text_col: str = "text") -> np.ndarray:
+    """Bits per byte above which a text is not in each language of ``trees``,
+    from the code lengths of the texts of that language in ``docs``, which the
+    trees have not seen."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        at_lang = {x: k for k, x in enumerate(model.langs)}
+        for batch in batches:
+            which = np.array([at_lang.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+            letter = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            for at, raw, offs in text_slices(batch.column(1)):
+                k = len(offs) - 1
+                mine = np.flatnonzero(letter[at : at + k] & (which[at : at + k] >= 0))
+                own = which[at : at + k][mine]
+                per_byte = model.text_bits(raw, offs)[mine, own] / np.diff(offs)[mine]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(per_byte)], ["k", "x"])
+
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    found = rows.where("lang is not null and text is not null").mapInArrow(run, "k long, x double").groupBy("k")
+    found = found.agg(F.max("x").alias("most"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count("x").alias("n"))
+    out = np.full(len(trees.langs), MAX_BITS_PER_BYTE)
+    for r in found.where(F.col("n") >= MIN_HELD_OUT).collect():
+        out[r["k"]] = max(r["most"], r["mean"] + REJECT_DEVIATIONS * r["sd"])
+    return out
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or whose text no
-    learned language codes in ``MAX_BITS_PER_BYTE`` bits a byte.  The decision
-    is made per text, so rows that share an id are judged apart."""
+    """``docs`` without the rows whose language is ``und`` or whose text costs
+    more bits a byte than the limit of the language that codes it best.  The
+    decision is made per text, so rows that share an id are judged apart."""
     trees = train(docs.where(~held_out(id_col)), lang_col, text_col, id_col)
+    limits = None if trees is None else reject_limits(docs.where(held_out(id_col)), trees, lang_col, text_col)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(trees)
     ok = fresh(docs, "identified")
@@ -236,8 +270,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if shared.value is None:
                 letter[at : at + k] = False
                 continue
-            bits = shared.value.text_bits(raw, offs).min(axis=1)
-            letter[at : at + k] &= bits <= MAX_BITS_PER_BYTE * np.maximum(np.diff(offs), 1)
+            bits = shared.value.text_bits(raw, offs)
+            letter[at : at + k] &= bits.min(axis=1) <= limits[bits.argmin(axis=1)] * np.maximum(np.diff(offs), 1)
         return pd.Series(letter)
 
     return docs.withColumn(ok, accepted(F.col(text_col))).where(ok).drop(ok)
