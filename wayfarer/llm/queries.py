@@ -22,6 +22,7 @@ from wayfarer.llm.lm_score import cross_entropy_difference
 from wayfarer.llm.packing import pack_documents
 from wayfarer.llm.secret_scan import scan_secrets
 from wayfarer.llm.topk import top_k
+from wayfarer.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -185,3 +186,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")))
     found = toxicity.score(docs, model, threshold=0.7)
     return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "abuse", "misspelt", "n_quoted")
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitened(vectors, k=8).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
