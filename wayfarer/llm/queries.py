@@ -20,6 +20,7 @@ from wayfarer.llm.langid import held_out, identify, train
 from wayfarer.llm.line_dedup import dedup_lines
 from wayfarer.llm.lm_score import cross_entropy_difference
 from wayfarer.llm.packing import pack_documents
+from wayfarer.llm.piece_bpe import encode_decode_pieces
 from wayfarer.llm.secret_scan import scan_secrets
 from wayfarer.llm.topk import top_k
 from wayfarer.llm.whitening import whitened
@@ -192,3 +193,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return whitened(vectors, k=8).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query("op12_piece_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = encode_decode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
