@@ -21,6 +21,7 @@ from wayfarer.llm.line_dedup import dedup_lines
 from wayfarer.llm.lm_score import cross_entropy_difference
 from wayfarer.llm.packing import pack_documents
 from wayfarer.llm.piece_bpe import encode_decode_pieces
+from wayfarer.llm.runs import find_runs
 from wayfarer.llm.secret_scan import scan_secrets
 from wayfarer.llm.topk import top_k
 from wayfarer.llm.whitening import whitened
@@ -205,3 +206,49 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """The contract's input: with h = crc32 of the id, the words of every tenth
+    text (h % 10 = 0) from word a on repeat with period p."""
+    hashed = docs.withColumn("h", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = hashed.withColumn("words", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), words)).selectExpr(
+        "doc_id", "text", "words", "size(words) AS n", "h DIV 10 AS g"
+    )
+    placed = cut.selectExpr("doc_id", "text", "words", "n", "g", "if(n > 0, g % n, 0) AS a")
+    placed = placed.selectExpr("doc_id", "text", "words", "n", "a", "1 + (n - a) DIV (3 + g % 8) AS p")
+    return placed.selectExpr(
+        "doc_id",
+        "if(n > 0, array_join(transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p AS int)])), ' '), text) AS text",
+    )
+
+
+def runs_digest(found: DataFrame) -> DataFrame:
+    """The contract's columns from (doc_id, runs, collapsed).  The first run by
+    exponent: a.length / a.period against b.length / b.period in whole numbers."""
+    first = F.expr("""
+        array_sort(runs, (a, b) -> CASE
+            WHEN a.length * b.period > b.length * a.period THEN -1
+            WHEN a.length * b.period < b.length * a.period THEN 1
+            WHEN a.start <> b.start THEN if(a.start < b.start, -1, 1)
+            WHEN a.period <> b.period THEN if(a.period < b.period, -1, 1)
+            ELSE 0 END)
+    """)
+    lines = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))), '')"
+    return found.withColumn("best", F.try_element_at(first, F.lit(1))).selectExpr(
+        "doc_id",
+        "cast(size(runs) AS long) AS n_runs",
+        "best.start AS start",
+        "best.length AS length",
+        "best.period AS period",
+        "1000 * best.length DIV best.period AS exponent_milli",
+        f"sha2(cast({lines} AS binary), 256) AS runs_sha256",
+        "sha2(cast(collapsed AS binary), 256) AS collapsed_sha256",
+    )
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs_digest(find_runs(planted_periods(docs)))
