@@ -52,3 +52,9 @@ def test_stage_keeps_one_row_of_each_group_with_all_columns(spark):
     texts = [r["text"] or "" for r in kept.collect()]
     assert sorted(texts) == sorted({t or "" for _, t in ROWS})
     assert {r["doc_id"] for r in kept.where("text = 'copy 3'").collect()} == {max(i for i in range(100, 160) if i % 7 == 3)}
+
+
+def test_stage_with_columns_named_like_its_own(spark):
+    df = frame(spark, ROWS).selectExpr("*", "1 as in_group", "2 as _in_group", "3 as keep_digest")
+    kept = keep_exact(df)
+    assert kept.columns == df.columns and kept.count() == len({t or "" for _, t in ROWS})

@@ -41,6 +41,8 @@ def stream_state(spark: SparkSession, rows_path: str, schema, max_files: int | N
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
+    # a store otherwise preallocates about 4 MB of local disk, however little it holds
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     reader = own.readStream.schema(schema)
     if max_files:
@@ -128,15 +130,15 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each group of equal texts (all columns).  Rows
     whose text surely stands alone pass where they are; only rows that may be
     in a group are shuffled."""
-    mark, kid, kdig, may = (fresh(docs, x) for x in ("digest", "keep_id", "keep_digest", "may"))
+    mark, kid, kdig, may, ing = (fresh(docs, x) for x in ("digest", "keep_id", "keep_digest", "may", "in_group"))
     groups = staged(exact_dedup(docs, id_col, text_col).where("group_size > 1 and kept"), "dedup-kept")
     keep = groups.select(F.col(id_col).alias(kid), F.col("digest").alias(kdig)).distinct()
     marked = docs.withColumn(mark, sha256(text_of(text_col)))
     flagged = maybe_among(marked, keep.select(F.col(kdig).alias(mark)), [mark], may)
     # a flagged row is in a group (then only the kept one goes on) or alone
-    grouped = keep.select(F.col(kdig).alias(mark), F.lit(True).alias("_in_group")).distinct()
+    grouped = keep.select(F.col(kdig).alias(mark), F.lit(True).alias(ing)).distinct()
     held = flagged.where(may).join(grouped, mark, "left")
-    alone = held.where("_in_group is null").select(docs.columns)
+    alone = held.where(F.col(ing).isNull()).select(docs.columns)
     on = F.col(mark).eqNullSafe(F.col(kdig)) & F.col(id_col).cast("long").eqNullSafe(F.col(kid))
-    kept = held.where("_in_group").join(keep, on, "left_semi").dropDuplicates([id_col, mark])
+    kept = held.where(F.col(ing)).join(keep, on, "left_semi").dropDuplicates([id_col, mark])
     return flagged.where(~F.col(may)).select(docs.columns).unionByName(alone).unionByName(kept.select(docs.columns))
