@@ -45,6 +45,7 @@ def hard_texts():
 
 def same(model, library, text):
     ids, starts, ends = model.encode(text)
+    ids = ids.tolist()
     assert ids == library.encode(text)
     assert model.decode([*ids, 2]) == library.decode([*ids, 2])
     want = [(p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
@@ -68,6 +69,13 @@ def test_compiled_character_maps(tmp_dir, rule, squeeze):
         same(model, library, text)
 
 
+def test_long_units_merge_alike():
+    model, rng = PieceModel(PATH), random.Random(2)
+    for _ in range(100):
+        unit = "▁" + "".join(rng.choice("theinou") for _ in range(rng.randint(1, 47)))
+        assert tuple(model.id_of[p] for p in model._merged_long(unit)) == model.merged(unit)
+
+
 def test_alignment_covers_the_text():
     normalizer = Normalizer(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec())
     for text in hard_texts():

@@ -37,7 +37,9 @@ BPE_MODEL = 2
 MARK = "▁"
 UNKNOWN_TEXT = " ⁇ ".encode()
 
-CACHED_UNITS = 300_000  # of each of two generations
+CACHED_UNITS = 400_000  # of each of two generations
+PLAIN_CHARS = 48
+NEVER = 1 << 60
 FLUSH_IDS = 200_000
 
 
@@ -198,7 +200,14 @@ class PieceModel:
         apart = not any(MARK in p.lstrip(MARK) for p in self.id_of)
         self.units_of = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if apart else lambda text: [text] if text else []
         self.units = _Generations(self.merged, CACHED_UNITS)
+        order = {score: r for r, score in enumerate(sorted({self.scores[i] for i in self.id_of.values()}, reverse=True))}
+        self.rank = {p: order[self.scores[i]] for p, i in self.id_of.items()}
         self.texts = [self._text(i) for i in range(len(self.pieces))]
+        byte = np.full(len(self.pieces), -1)
+        byte[self.byte_ids] = np.arange(256)
+        self.inner = (byte & 0xC0) == 0x80
+        self.inner[byte < 0] = False
+        self.widths = np.array([1 if b >= 0 else len(p.encode()) for p, b in zip(self.pieces, byte)])
         self.stripped = self.normalizer.dummy_prefix or self.normalizer.squeeze
 
     def _text(self, i: int) -> bytes:
@@ -207,28 +216,48 @@ class PieceModel:
             return bytes([int(piece[1:-1], 16)])
         return b"" if kind == CONTROL else UNKNOWN_TEXT if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
-    def merged(self, unit: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """(ids, normalised bytes of each) of one unit."""
-        whole = self.id_of.get(unit)
-        n = len(unit)
-        end = list(range(1, n + 1))  # of the symbol that starts here
+    def merged(self, unit: str) -> tuple[int, ...]:
+        """Ids of one unit: the best pair first, of equals the leftmost."""
+        rank = self.rank.get
+        if len(unit) <= PLAIN_CHARS:
+            parts = list(unit)
+            pairs = [rank(unit[i : i + 2], NEVER) for i in range(len(unit) - 1)]
+            while pairs:
+                best = min(pairs)
+                if best == NEVER:
+                    break
+                i = pairs.index(best)
+                both = parts[i] + parts[i + 1]
+                parts[i : i + 2] = [both]
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = rank(both + parts[i + 1], NEVER)
+                if i:
+                    pairs[i - 1] = rank(parts[i - 1] + both, NEVER)
+        else:
+            parts = self._merged_long(unit)
+        try:
+            return tuple([self.id_of[p] for p in parts])
+        except KeyError:  # characters without a piece
+            return tuple(chain.from_iterable([[self.id_of[p]] if p in self.id_of else [self.byte_ids[b] for b in p.encode()] for p in parts]))
+
+    def _merged_long(self, unit: str) -> list[str]:
+        """The same with a heap over a linked list."""
+        n, rank = len(unit), self.rank.get
+        end = list(range(1, n + 1))  # of the part that starts here
         before = list(range(-1, n - 1))
         alive = [True] * n
-        heap: list[tuple[float, int, int, int]] = []
-        id_of, scores = self.id_of, self.scores
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = end[i]
             if j < n:
-                found = id_of.get(unit[i : end[j]])
+                found = rank(unit[i : end[j]])
                 if found is not None:
-                    heapq.heappush(heap, (-scores[found], i, j, end[j]))
+                    heapq.heappush(heap, (found, i, j, end[j]))
 
-        if n > 1 and (whole is None or n > 2):
-            for i in range(n - 1):
-                offer(i)
-        elif whole is not None:
-            end[0] = n
+        for i in range(n - 1):
+            offer(i)
         while heap:
             _, i, j, e = heapq.heappop(heap)
             if not (alive[i] and alive[j] and end[i] == j and end[j] == e):
@@ -240,31 +269,25 @@ class PieceModel:
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        ids: list[int] = []
-        sizes: list[int] = []
-        i = 0
+        parts, i = [], 0
         while i < n:
-            symbol = unit[i : end[i]]
-            found, data = id_of.get(symbol), symbol.encode()
-            if found is not None:
-                ids.append(found)
-                sizes.append(len(data))
-            else:
-                ids += [self.byte_ids[b] for b in data]
-                sizes += [0] * (len(data) - 1) + [len(data)]
+            parts.append(unit[i : end[i]])
             i = end[i]
-        return tuple(ids), tuple(sizes)
+        return parts
 
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends): spans in the UTF-8 bytes of ``text``."""
         data, align = self.normalizer(text)
         units = self.units
-        found = [units[u] for u in self.units_of(data.decode())]
-        ids = list(chain.from_iterable([f[0] for f in found]))
-        upto = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(np.fromiter(chain.from_iterable([f[1] for f in found]), np.int64, len(ids)), out=upto[1:])
-        places = align[upto]
-        return ids, places[:-1], places[1:]
+        ids = np.array(list(chain.from_iterable([units[u] for u in self.units_of(data.decode())])), np.int32)
+        place = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.widths[ids], out=place[1:])
+        inner = self.inner[ids]  # byte pieces after the first of their character
+        starts, ends = place[:-1], place[1:]
+        if inner.any():
+            starts = np.maximum.accumulate(np.where(inner, 0, starts))
+            ends = np.where(np.append(inner[1:], False), starts, ends)
+        return ids, align[starts], align[ends]
 
     def decode(self, ids: list[int]) -> str:
         texts = self.texts
@@ -312,19 +335,19 @@ def encode_decode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)
+        last = np.array([model.end_id], np.int32)
         for batch in batches:
             ids, starts, ends, offsets, decoded, first = [], [], [], [0], [], 0
             size = 0
             for row, text in enumerate(batch.column(1).to_pylist()):
                 text = text or ""
                 found, start, end = model.encode(text)
-                found.append(model.end_id)
                 close = np.array([len(text.encode())], np.int32)
-                ids.append(np.array(found, np.int32))
+                ids += [found, last]
                 starts += [start, close]
                 ends += [end, close]
-                decoded.append(model.decode(found))
-                size += len(found)
+                decoded.append(model.decode([*found.tolist(), model.end_id]))
+                size += len(found) + 1
                 offsets.append(size)
                 if size >= FLUSH_IDS or row + 1 == batch.num_rows:
                     cuts = pa.array(offsets, pa.int32())
