@@ -3,12 +3,16 @@ de-duplication (E2, D6) against a plain sequential model."""
 
 import random
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wayfarer.functions.similarity import lcs_at_least, lcs_expr, lcs_len, token_sort_key
-from wayfarer.operators.resolve import dedupe_descriptions, resolve_names, similar_name_pairs
+from wayfarer.functions.lcs import Texts, lcs_reaches
+from wayfarer.functions.similarity import lcs_expr, lcs_len, token_sort_key
+from wayfarer.operators import resolve
+from wayfarer.operators.resolve import dedupe_descriptions, resolve_against, resolve_names, similar_name_pairs
 
 
 def lcs_dp(a, b):
@@ -27,10 +31,46 @@ def test_bit_parallel_lcs_matches_dp(a, b):
     assert lcs_len(a, b) == lcs_dp(a, b)
 
 
-@given(st.text(alphabet="ab c", max_size=90), st.text(alphabet="ab c", max_size=90), st.integers(0, 95))
-@settings(max_examples=300, deadline=None)
-def test_early_exit_lcs_test_is_exact(a, b, need):
-    assert lcs_at_least(a, b, need, step=4) == (lcs_dp(a, b) >= need)
+@given(st.lists(st.text(alphabet="ab c", max_size=90), min_size=2, max_size=6), st.integers(-3, 95))
+@settings(max_examples=200, deadline=None)
+def test_batched_lcs_test_is_exact(texts, need):
+    i, j = np.triu_indices(len(texts), 1)
+    got = lcs_reaches(Texts(texts), i, j, np.full(len(i), need))
+    assert got.tolist() == [lcs_dp(texts[a], texts[b]) >= need for a, b in zip(i, j)]
+
+
+def edited(rng, s, k):
+    s = list(s)
+    for _ in range(k):
+        p = rng.randrange(len(s) + 1)
+        if rng.random() < 0.4 and s:
+            s.pop(min(p, len(s) - 1))
+        else:
+            s.insert(p, rng.choice("abcdeé全"))
+    return "".join(s)
+
+
+def test_batched_lcs_at_and_around_the_threshold():
+    """Long texts over many words of bits, several lengths and small batches;
+    each pair is asked for its own LCS, one less and one more."""
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcde") for _ in range(n)) for n in (0, 3, 63, 64, 65, 130, 400, 900)]
+    texts = [edited(rng, rng.choice(base), rng.randint(0, 150)) for _ in range(40)]
+    i, j = np.triu_indices(len(texts), 1)
+    exact = np.array([lcs_len(texts[a], texts[b]) for a, b in zip(i, j)])
+    for change in (-7, -1, 0, 1, 2):
+        assert (lcs_reaches(Texts(texts), i, j, exact + change) == (change <= 0)).all()
+    total = np.array([len(texts[a]) + len(texts[b]) for a, b in zip(i, j)])
+    need = (171 * total + 399) // 400
+    assert (lcs_reaches(Texts(texts), i, j, need) == ((exact >= need) | (need <= 0))).all()
+
+
+def test_batches_are_bounded(monkeypatch):
+    from wayfarer.functions import lcs
+
+    monkeypatch.setattr(lcs, "CELLS", 64)
+    monkeypatch.setattr(lcs, "MASK_CELLS", 200)
+    test_batched_lcs_at_and_around_the_threshold()
 
 
 def test_lcs_expression_matches_dp(spark):
@@ -116,15 +156,76 @@ def test_similar_name_pairs_are_exactly_the_matches(spark):
     assert got == want
 
 
+def pairs_of(rows):
+    first = {}
+    for seq, g, name in sorted(rows):
+        first.setdefault((g, py_key(name) or "\0" + name), (seq, name))
+    verts = sorted((s, g, n) for (g, _), (s, n) in first.items())
+    return {
+        (g1, n1, n2) for i, (_, g1, n1) in enumerate(verts) for (_, g2, n2) in verts[i + 1 :] if g1 == g2 and name_match(n1, n2)
+    }
+
+
+@pytest.mark.parametrize("hot_pairs", [1, 30])
+def test_hot_signatures_are_split_without_losing_a_pair(spark, monkeypatch, hot_pairs):
+    """Most names share their rarest bigrams: every signature counts as hot, is
+    split by a second one and cut into tiles of three."""
+    rng = random.Random(9)
+    stem = "grand central market hall of the old river town"
+    rows = [(i, "A", edited(rng, stem, rng.randint(0, 4))) for i in range(90)] + [(100 + i, g, n) for i, g, n in _names(4, 60)]
+    df = spark.createDataFrame(rows, "seq long, country string, place string")
+    plain = resolve.matching_edges
+    monkeypatch.setattr(resolve, "matching_edges", lambda v, *a, **k: plain(v, *a, tile=3, hot_pairs=hot_pairs, **k))
+    got = {(r.country, r.name_a, r.name_b) for r in similar_name_pairs(df, ["country"], "place", ["seq"]).collect()}
+    assert got == pairs_of(rows)
+
+
+def test_a_hot_signature_spreads_over_tiles(spark):
+    """A third of all names share one signature: no tile holds more than two
+    chunks of it, and the tiles go to many partitions."""
+    names = [(i, "g", f"shared {i:04d}", 11, 11, 11, "s" if i % 3 == 0 else f"s{i}") for i in range(1200)]
+    rows = spark.createDataFrame(names, "_id long, _g string, key string, _l int, _lo int, _hi int, sig string")
+    light, hot = resolve._hot(resolve._sided(rows, None), 1000)
+    assert hot.count() == 400 and light.count() == 800
+    tiles = resolve._hot_tiles(hot, 50)
+    sizes = [r["count"] for r in tiles.groupBy("_i", "_j").count().collect()]
+    assert len(sizes) == 36 and max(sizes) <= 2 * 75
+    assert sum(1 for n in tiles.repartition(16, *resolve.BLOCK, "_i", "_j").rdd.glom().map(len).collect() if n) > 8
+
+
+@pytest.mark.parametrize("hot_pairs", [1 << 16, 1])
+def test_fixed_leaders_equal_sequential_model(spark, monkeypatch, hot_pairs):
+    """Names of the base lead, in its order; a name that stands there as it is
+    keeps its spelling, later names join the earliest leader they match."""
+    if hot_pairs == 1:
+        plain = resolve.matching_edges
+        monkeypatch.setattr(resolve, "matching_edges", lambda v, *a, **k: plain(v, *a, **{**k, "tile": 3, "hot_pairs": 1}))
+    base, new = _names(11, 60), _names(12, 200)
+    new += [(1000 + i, g, n) for i, g, n in base[:20]] + [(2000, "C", "only here"), (2001, "C", "only herr"), (2002, None, "x y z"), (2003, "A", None)]
+    schema = "seq long, country string, place string"
+    got = resolve_against(spark.createDataFrame(new, schema), spark.createDataFrame(base, schema), ["country"], "place", ["seq"], ["seq"])
+    leaders = {}
+    for _, g, n in sorted(base):
+        leaders.setdefault(g, []).append(n)
+    exact = {(g, n) for _, g, n in base}
+    want = {}
+    for seq, g, n in sorted(new, key=lambda r: r[0]):
+        if (g, n) in exact or n is None:
+            want[seq] = n
+            continue
+        hit = next((x for x in leaders.setdefault(g, []) if name_match(n, x) or n == x), None)
+        if hit is None:
+            leaders[g].append(n)
+        want[seq] = hit or n
+    assert {r.seq: r.resolved for r in got.collect()} == want
+
+
 def desc_match(a, b):
     a, b = a.lower(), b.lower()
     n = len(a) + len(b)
     return n > 0 and 400 * lcs_len(a, b) >= 171 * n
 
 
-import pytest
-
-
 @pytest.mark.parametrize("tile", [256, 3])
 def test_dedupe_descriptions_equals_sequential_model(spark, tile):
     rng = random.Random(3)
@@ -146,3 +247,29 @@ def test_dedupe_descriptions_equals_sequential_model(spark, tile):
             ks.append(d)
         want[seq] = not dup
     assert got == want
+
+
+def test_a_block_over_many_tiles_and_lengths(spark):
+    """One group of 700 texts of all lengths, a third of them of one length,
+    null groups, null and equal texts, and columns with the names used inside."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([5, 40, 41, 42, 60, 200]))) for _ in range(40)]
+    rows = [(i, None, edited(rng, rng.choice(base), rng.randint(0, 6)), 1) for i in range(430)]
+    rows += [(500 + i, None, edited(rng, "z" * 40, 0)[: 40 - i % 2] + "qrst"[i % 4], 1) for i in range(230)]
+    rows += [(900 + i, None, t, 1) for i, t in enumerate([None, "", "", "ABC abc", "abc ABC", None])]
+    df = spark.createDataFrame(rows, "seq long, country string, description string, extra int").selectExpr(
+        "*", "extra AS _id2", "extra AS key", "extra AS vid", "extra AS id", "extra AS leader"
+    )
+    out = dedupe_descriptions(df, ["country"], "description", ["seq"], tile=16)
+    assert out.columns == [*df.columns, "kept"]
+    got = {r.seq: r.kept for r in out.collect()}
+    kept, seen, want = [], set(), {}
+    for seq, _, d, _ in rows:
+        if d is None or d.lower() in seen:
+            want[seq] = False
+            continue
+        seen.add(d.lower())
+        want[seq] = not any(desc_match(d, x) for x in kept)
+        if want[seq]:
+            kept.append(d)
+    assert got == want

@@ -7,7 +7,7 @@ The source compares the *rounded* integer ratio (half-even), so
 ``ratio > 85``  <=>  400*LCS >= 171*(|a|+|b|)   (descriptions)
 which we evaluate in exact integer arithmetic.
 
-Two LCS implementations:
+Two LCS implementations (``functions/lcs.py`` decides many pairs at once):
 * ``lcs_expr``: pure SQL higher-order functions (JVM-side, for short strings);
 * ``lcs_udf``: Arrow-batched pandas UDF with the bit-parallel LCS recurrence
   on Python integers (long texts), O(|a| * |b| / 64) word operations.
@@ -73,82 +73,11 @@ def lcs_len(a: str, b: str) -> int:
     return len(a) - bin(v).count("1")
 
 
-def lcs_at_least(a: str, b: str, need: int, step: int = 32) -> bool:
-    """Exact test LCS(a, b) >= need with early exit: every ``step`` characters
-    the LCS so far either already reaches ``need`` (success) or cannot reach
-    it with the characters left (failure)."""
-    if need <= 0:
-        return True
-    if not a or not b:
-        return False
-    if len(a) < len(b):
-        a, b = b, a
-    la, lb = len(a), len(b)
-    if need > lb:
-        return False
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << la) - 1
-    v = full
-    for j, ch in enumerate(b, 1):
-        u = v & masks.get(ch, 0)
-        v = ((v + u) | (v - u)) & full
-        if j % step == 0:
-            cur = la - v.bit_count()
-            if cur >= need:
-                return True
-            if cur + (lb - j) < need:
-                return False
-    return la - v.bit_count() >= need
-
-
-def bag_distance(a: str, b: str) -> int:
-    """Character-multiset symmetric difference: a lower bound of the indel distance."""
-    from collections import Counter
-
-    ca, cb = Counter(a), Counter(b)
-    return sum(((ca - cb) + (cb - ca)).values())
-
-
 @F.pandas_udf(T.IntegerType())
 def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_len(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
 
 
-def max_indel(n: int, slack: int, strict: bool, half: int = 200) -> int:
-    """Largest indel distance d with 200*(n - d) (>|>=) (200 - slack)*n."""
-    return (slack * n - 1) // half if strict else (slack * n) // half
-
-
-def make_match_udf(slack: int, strict: bool, use_bag: bool = True):
-    """Pandas UDF: True iff the rounded ratio clears the threshold, i.e.
-    d = |a|+|b|-2*LCS < (strict) or <= slack*(|a|+|b|)/200.  The length and
-    bag-distance lower bounds of d are checked before the exact LCS (the bag
-    check can be skipped when a JVM-side bound already ran)."""
-
-    @F.pandas_udf(T.BooleanType())
-    def _match(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = x or "", y or ""
-            n = len(x) + len(y)
-            if not x or not y:
-                out.append(False)
-                continue
-            dmax = max_indel(n, slack, strict)
-            if abs(len(x) - len(y)) > dmax or (use_bag and bag_distance(x, y) > dmax):
-                out.append(False)
-                continue
-            # d = n - 2*LCS <= dmax  <=>  LCS >= ceil((n - dmax) / 2)
-            out.append(lcs_at_least(x, y, (n - dmax + 1) // 2))
-        return pd.Series(out, dtype=bool)
-
-    # non-deterministic only to stop the optimizer from pushing this costly
-    # filter below the explicit repartition that spreads it over every core
-    return _match.asNondeterministic()
-
-
 def ratio_from_lcs(lcs, la, lb) -> Column:
     """Integer ratio as the source reports it (half-even rounding)."""
     return F.when((la + lb) == 0, F.lit(0)).otherwise(F.bround(F.lit(200.0) * lcs / (la + lb), 0).cast("int"))

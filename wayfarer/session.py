@@ -130,6 +130,12 @@ def cpu_parallelism(spark: SparkSession, factor: int = 2) -> int:
     return max(1, spark.sparkContext.defaultParallelism * factor)
 
 
+def python_partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle that feeds a CPU-heavy Python stage: the
+    session's shuffle width, which follows the data, but several tasks a core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), cpu_parallelism(spark, 4))
+
+
 def spread_for_python(df):
     """Before a CPU-heavy Python stage: if the input has fewer partitions than
     the cluster has cores (a small table read as one split), spread it by a
