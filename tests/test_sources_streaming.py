@@ -3,6 +3,7 @@ registry (A11, D14, C23), JSON labels (A12, B6, K1), streaming (I1-I3)."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfarer.operators.merge import merge_catalog
@@ -13,6 +14,7 @@ from wayfarer.sources.csv import read_csv_dir, with_folder_country, with_maps_al
 from wayfarer.sources.pages import filter_links, html_to_text, page_links, top_links, unseen
 from wayfarer.sources.registry import explode_registry, read_registry, select_tasks
 from wayfarer.streaming.ingest import file_stream, mean_view, read_current, running_means, seed_catalog, seen_filter, stream_merge
+from wayfarer.streaming.store import BucketStore, replaced
 
 
 def _w(path, text):
@@ -95,32 +97,71 @@ def _rows(spark, rows):
     return spark.createDataFrame(rows, "seq long, country string, place string, description string, " + ", ".join(f"{c} double" for c in CATEGORIES))
 
 
-def test_stream_merge_equals_sequential_batch_merges(spark):
-    base = _rows(spark, [(0, "A", "P", "base", *[5.0] * 10)]).drop("seq").withColumn("description_count", F.lit(2).cast("long"))
-    b1 = _rows(spark, [(1, "A", "P", "n1", *[9.0] * 10), (2, "A", "Q", "q", *[1.0] * 10)])
-    b2 = _rows(spark, [(3, "A", "P", "n2", *[0.0] * 10)])
-    # batch reference: two merges in order
-    m1 = merge_catalog(base, b1, ["seq"], as_of="2024-01-01").drop("merge_status")
-    want = merge_catalog(m1, b2, ["seq"], as_of="2024-01-01").drop("merge_status")
-    # stream: one file per micro-batch
-    drop = shared_path(spark, "t-drop")
-    b1.write.parquet(f"{drop}/f1")
-    b2.write.parquet(f"{drop}/f2")
+def _event_like(n):
+    """Rows of few places in three countries; scores that no single merge rounds alike."""
+    return [(i, "ABZ"[i % 3], f"P{i % 5}" if i % 7 else "Q", f"d{i}" if i % 4 else None, *[float((i * k) % 10) for k in range(1, 11)]) for i in range(1, n)]
+
+
+@pytest.mark.parametrize("files", [[40], [1, 2, 3, 30, 4], [13, 13, 14], [1] * 40])
+def test_any_cut_into_files_gives_the_batch_merge(spark, files):
+    base = _rows(spark, [(0, "A", "P1", "base", *[5.0] * 10), (0, "A", "P9", "only", *[3.0] * 10), (0, "B", "P2", "b", *[2.0] * 10)])
+    base = base.drop("seq").withColumn("description_count", F.lit(2).cast("long"))
+    rows = _event_like(41)
+    drop, at = shared_path(spark, "t-drop"), 0
+    for k, n in enumerate(files):
+        _rows(spark, rows[at : at + n][::-1]).coalesce(1).write.parquet(f"{drop}/f{k:02d}")
+        at += n
     cat = shared_path(spark, "t-cat")
-    seed_catalog(spark, base, cat)
-    stream_merge(spark, file_stream(spark, f"{drop}/*", b1.schema, max_files=1), cat, ["seq"], as_of="2024-01-01")
-    got = read_current(spark, cat)
-    key = lambda r: (r.place, r.romance, r.description_count, r.description)
-    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    seed_catalog(base, cat)
+    stream_merge(file_stream(spark, f"{drop}/*", _rows(spark, rows[:1]).schema, max_files=1), cat, ["seq"], buckets=4)
+    got = read_current(spark, cat, as_of="2024-01-01")
+    want = merge_catalog(base, _rows(spark, rows), ["seq"], as_of="2024-01-01", new_countries="summary")
+    cols = sorted(want.columns)
+    assert sorted(map(repr, got.select(cols).collect())) == sorted(map(repr, want.select(cols).collect()))
+    assert {r.merge_status for r in want.collect()} == {"merged", "unchanged", "new", "new_country"}
+
+
+def test_store_rewrites_only_the_touched_bucket(spark):
+    path = shared_path(spark, "t-store")
+    first = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "k string, x long")
+    store = BucketStore(spark, path, ["k"], first.schema, buckets=8)
+    assert store.read().count() == 0
+    assert len(store.upsert(first, 1, replaced(["k"]))) > 4
+    before = store.pointer()
+    touched = store.upsert(spark.createDataFrame([("k7", 700)], first.schema), 2, replaced(["k"]))
+    assert len(touched) == 1 and os.listdir(f"{path.removeprefix('file:')}/data/v=2").count(f"bucket={touched[0]}") == 1
+    assert {b: v for b, v in store.pointer().items() if v == 2} == {touched[0]: 2}
+    assert {b: v for b, v in store.pointer().items() if b != touched[0]} == {b: v for b, v in before.items() if b != touched[0]}
+    assert {r.k: r.x for r in store.read().collect()} == {f"k{i}": 700 if i == 7 else i for i in range(40)}
+    # run again: the same result, from the version before it
+    added = lambda a, b: a.unionByName(b).groupBy("k").agg(F.sum("x").alias("x"))
+    more = spark.createDataFrame([("k1", 5), ("new", 1)], first.schema)
+    for _ in range(2):
+        store.upsert(more, 3, added)
+    got = {r.k: r.x for r in store.read().collect()}
+    assert got["k1"] == 6 and got["new"] == 1 and len(got) == 41
+
+
+def test_a_store_keeps_its_pointer_when_an_upsert_dies(spark):
+    path = shared_path(spark, "t-store")
+    rows = spark.createDataFrame([("a", 1)], "k string, x long")
+    store = BucketStore(spark, path, ["k"], rows.schema, buckets=2)
+    store.upsert(rows, 1, replaced(["k"]))
+
+    def dies(current, new):
+        return replaced(["k"])(current, new.withColumn("x", F.raise_error(F.lit("lost")).cast("long")))
+
+    with pytest.raises(Exception, match="lost"):
+        store.upsert(spark.createDataFrame([("a", 2)], rows.schema), 2, dies)
+    assert [tuple(r) for r in store.read().collect()] == [("a", 1)]
 
 
 def test_running_mean_and_seen(spark):
     rows = _rows(spark, [(i, "A", "P" if i % 2 else "Q", "d", *[float(i)] * 10) for i in range(6)])
     drop = shared_path(spark, "t-drop2")
     rows.write.partitionBy("seq").parquet(drop)
-    out = shared_path(spark, "t-mean")
-    running_means(spark, file_stream(spark, drop, rows.drop("seq").schema, max_files=2), out)
-    m = {r.place: r.romance for r in mean_view(spark.read.parquet(out)).collect()}
+    store = running_means(file_stream(spark, drop, rows.drop("seq").schema, max_files=2), shared_path(spark, "t-mean"))
+    m = {r.place: r.romance for r in mean_view(store.read()).collect()}
     assert m == {"P": 3.0, "Q": 2.0}
     seen_out = shared_path(spark, "t-seen")
     seen_filter(spark, file_stream(spark, drop, rows.drop("seq").schema, max_files=1), "place", seen_out)

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from wayfarer.operators.merge import merge_catalog
+from wayfarer.operators.merge import combine_states, merge_catalog, place_state
 from wayfarer.operators.scoring import overlay_scores
 from wayfarer.operators.summary import first_nonempty_metadata, place_summary
 from wayfarer.schemas import CATEGORIES
@@ -128,3 +128,39 @@ def test_classify_skips_when_all_rows_have_ratings(spark):
     df = spark.createDataFrame([("Thailand", "Wat Arun", "Good description", *[6.0] * 10)], "country string, place string, description string, " + SCORE_DDL)
     r = overlay_scores(df, _never_called).first()
     assert r.romance == 6.0 and r.food == 6.0
+
+
+def test_fuzzy_merge_equals_sequential_model(spark):
+    """Names of the catalogue lead in its order; a new name joins the earliest
+    leader it matches and merges into its place, exact names first."""
+    base = _base(spark, [(p, "T", f"old {p}", *[4.0] * 10, 1) for p in ("Grand River Temple", "Grand Rivers Temple", "Night Market")])
+    rows = [
+        (1, "Grand River Temples", "T"), (2, "Grand Rivers Temple", "T"), (3, "Night Markets", "T"), (4, "Night Market", "T"),
+        (5, "Blue Lagoon Beach", "T"), (6, "Blue Lagoon Beech", "T"), (7, "Nigth Market", "U"), (8, "Night Market", "U"),
+    ]
+    new = _new(spark, [(i, p, c, f"d{i}", *[8.0] * 10) for i, p, c in rows])
+    got = {(r.country, r.place): r for r in merge_catalog(base, new, ["seq"], fuzzy=True).collect()}
+    assert {k: (r.merge_status, r.description_count) for k, r in got.items() if k[0] == "T"} == {
+        ("T", "Grand River Temple"): ("merged", 2), ("T", "Grand Rivers Temple"): ("merged", 2),
+        ("T", "Night Market"): ("merged", 3), ("T", "Blue Lagoon Beach"): ("new", 1),
+    }
+    assert got["T", "Night Market"].description == "old Night Market\n\nd3\n\nd4"
+    assert {k for k in got if k[0] == "U"} == {("U", "Nigth Market"), ("U", "Night Market")}  # no base: rows stay
+    plain = merge_catalog(base, new, ["seq"]).where("country = 'T'").collect()
+    assert {r.place for r in plain if r.merge_status == "new"} == {"Grand River Temples", "Night Markets", "Blue Lagoon Beach", "Blue Lagoon Beech"}
+
+
+def test_new_country_summarised(spark):
+    base = _base(spark, [("P", "A", "x", *[5.0] * 10, 1)])
+    new = _new(spark, [(1, "Q", "B", "q1", *[1.0] * 10), (2, "Q", "B", "q2", *[2.0] * 10), (3, "R", "B", None, *[None] * 10)])
+    rows = merge_catalog(base, new, ["seq"], as_of="2024-01-01", new_countries="summary").where(F.col("country") == "B").collect()
+    got = {r.place: (r.romance, r.description, r.description_count, r.merge_status) for r in rows}
+    assert got == {"Q": (1.5, "q1\n\nq2", 2, "new_country"), "R": (None, "", 1, "new_country")}
+
+
+def test_states_of_parts_make_the_state_of_all(spark):
+    rows = [(i, f"P{i % 3}", "A", f"d{i}" if i % 4 else None, *[float(i * k % 7) if i % 5 else None for k in range(10)]) for i in range(40)]
+    whole = place_state(_new(spark, rows), ["seq"])
+    for cut in (1, 17, 39):
+        parts = combine_states(place_state(_new(spark, rows[cut:]), ["seq"]), place_state(_new(spark, rows[:cut]), ["seq"]))
+        assert sorted(map(repr, parts.select(whole.columns).collect())) == sorted(map(repr, whole.collect()))

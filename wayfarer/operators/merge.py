@@ -2,9 +2,9 @@
 
 One plan instead of per-place loops:
 
-* new rows are pre-aggregated per (country, place) (count, per-category mean,
-  first row, first five descriptions) - a partial aggregate, so a hot place
-  never lands whole in one task;
+* new rows become a mergeable state per (country, place): count, unrounded
+  sums, first row, first five descriptions - partial aggregates, so a hot place
+  never lands whole in one task, and a stream can add to the state;
 * the base keeps its first row per place (``min_by`` over the arrival key);
 * a single full-outer equi-join on (country, place) labels every place
   unchanged / merged / new;
@@ -24,6 +24,8 @@ from wayfarer.schemas import CATEGORIES
 
 KEY = ["country", "place"]
 CATALOG_TEXT = ["place", "country", "google_maps_url", "description", "region", "place_type", "blog_source"]
+STAMPS = {"description_count": "bigint", "last_updated": "date"}
+OUT_COLS = CATALOG_TEXT + CATEGORIES + list(STAMPS)
 
 
 def _as_of(as_of):
@@ -40,15 +42,6 @@ def keep_first(df: DataFrame, order_cols: list[str], keys: list[str] = KEY) -> D
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def first_k(df: DataFrame, keys: list[str], col: str, order_cols: list[str], k: int, out: str) -> DataFrame:
-    """First ``k`` values per key in arrival order as an array (duplicates kept)."""
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    top = df.select(*keys, col, *order_cols).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    return top.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.col(col).alias("_v")))), lambda x: x["_v"]).alias(out)
-    )
-
-
 def _with_catalog_cols(df: DataFrame) -> DataFrame:
     for c in CATALOG_TEXT:
         if c not in df.columns:
@@ -58,108 +51,149 @@ def _with_catalog_cols(df: DataFrame) -> DataFrame:
     return df
 
 
-def merge_catalog(
-    base: DataFrame,
-    new: DataFrame,
-    new_order: list[str],
-    base_order: list[str] | None = None,
-    as_of=None,
-    max_descriptions: int = 5,
-) -> DataFrame:
-    """Merge ``new`` (normalised, scored rows) into ``base`` (catalogue rows).
+def place_state(new: DataFrame, order_cols: list[str], max_descriptions: int = 5) -> DataFrame:
+    """Mergeable state of new rows, one row per (country, place): the number of
+    rows ``n``, unrounded ``sum_c`` and ``cnt_c`` of each category, ``first``
+    (arrival and columns of the first row) and ``texts`` (arrival and text of
+    the first ``max_descriptions`` descriptions).
 
-    Output: catalogue columns + ``merge_status`` in
-    {unchanged, merged, new, new_country}.
+    Any split of the rows gives the same state once its parts are combined.
+    The sums are plain partial aggregates; of a hot place only its first rows
+    move (``row_number() <= k`` limits them before the shuffle).
     """
-    today = _as_of(as_of)
-    base = _with_catalog_cols(base)
-    if "description_count" not in base.columns:
-        base = base.withColumn("description_count", F.lit(None).cast("bigint"))
-    if "last_updated" not in base.columns:
-        base = base.withColumn("last_updated", F.lit(None).cast("date"))
     new = _with_catalog_cols(new)
-    if base_order:
-        base = keep_first(base, base_order)
-
-    out_cols = CATALOG_TEXT + CATEGORIES + ["description_count", "last_updated"]
-    # free text: whether it is small enough to broadcast is the planner's call
-    countries = base.select("country").distinct()
-    new_in = new.join(countries, "country", "left_semi")
-    new_out = new.join(countries, "country", "left_anti")
-
-    seq = seq_struct(new_order)
-    first_cols = [c for c in CATALOG_TEXT + CATEGORIES if c not in KEY]
-    extra = [c for c in ["description_count", "last_updated"] if c in new.columns]
-    nagg = new_in.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.avg(c).alias(f"_m_{c}") for c in CATEGORIES],
-        F.min_by(F.struct(*[F.col(c) for c in first_cols + extra]), seq).alias("_first"),
+    sums = new.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"sum_{c}") for c in CATEGORIES],
+        *[F.count(c).alias(f"cnt_{c}") for c in CATEGORIES],
+    )
+    payload = [c for c in CATALOG_TEXT + CATEGORIES if c not in KEY] + [c for c in STAMPS if c in new.columns]
+    seq = seq_struct(order_cols)
+    w = Window.partitionBy(*KEY).orderBy("_s")
+    top = new.select(*KEY, seq.alias("_s"), *payload).withColumn("_rn", F.row_number().over(w))
+    top = top.where(F.col("_rn") <= max_descriptions)
+    firsts = top.groupBy(*KEY).agg(
+        F.min_by(F.struct("_s", *payload), "_rn").alias("first"),
+        F.array_sort(F.collect_list(F.struct("_s", F.col("description").alias("t")))).alias("texts"),
+    )
+    same = F.lit(True)
+    for c in KEY:  # null keys are groups like any other
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return sums.alias("l").join(firsts.alias("r"), same).select("l.*", "r.first", "r.texts")
+
+
+def combine_states(a: DataFrame, b: DataFrame, max_descriptions: int = 5) -> DataFrame:
+    """The state of all rows of two states (each has a place at most once)."""
+    both = a.unionByName(b)
+    numbers = [c for c in a.columns if c == "n" or c.startswith(("sum_", "cnt_"))]
+    return both.groupBy(*KEY).agg(
+        *[F.sum(c).alias(c) for c in numbers],
+        F.min_by("first", "first._s").alias("first"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("texts"))), 1, max_descriptions).alias("texts"),
     )
-    ntop = first_k(new_in, KEY, "description", new_order, max_descriptions, "_top")
-    n = nagg.join(ntop, KEY, "left")
 
-    b = base.select(*[F.col(c).alias(f"_b_{c}") if c not in KEY else F.col(c) for c in out_cols])
-    # presence flags that do not depend on nullable payload columns
-    j = b.withColumn("_in_base", F.lit(True)).join(n.withColumn("_in_new", F.lit(True)), KEY, "full_outer")
-    in_base = F.coalesce(F.col("_in_base"), F.lit(False))
-    in_new = F.coalesce(F.col("_in_new"), F.lit(False))
-    status = F.when(in_base & in_new, "merged").when(in_base, "unchanged").otherwise("new")
 
-    oc = F.coalesce(F.col("_b_description_count"), F.lit(1)).cast("bigint")
-    total = oc + F.col("_n")
+def _catalog(base: DataFrame, base_order: list[str] | None) -> DataFrame:
+    base = _with_catalog_cols(base)
+    for c, kind in STAMPS.items():
+        if c not in base.columns:
+            base = base.withColumn(c, F.lit(None).cast(kind))
+    return keep_first(base, base_order) if base_order else base
 
-    def merged_score(c):
-        v = (F.col(f"_b_{c}") * oc + F.col(f"_m_{c}") * F.col("_n")) / total
-        return round_half_even_1(v)
 
-    merged_desc = F.array_join(
-        F.slice(F.concat(F.coalesce(split_blank_line("_b_description"), F.array().cast("array<string>")), F.col("_top")), 1, max_descriptions),
-        "\n\n",
-    )
+def merge_state(base: DataFrame, state: DataFrame, as_of=None, max_descriptions: int = 5) -> DataFrame:
+    """The catalogue after the rows of ``state`` are merged into ``base`` (one
+    row per place): catalogue columns + ``merge_status`` in
+    {unchanged, merged, new, new_country}.
+
+    Places of a country without a base are summarised: mean scores (one
+    decimal), the first descriptions, the number of rows.
+    """
+    today = _as_of(as_of)
+    base = _catalog(base, None)
+    countries = base.select("country").distinct().withColumn("_known", F.lit(True))
+    b = base.select(*[F.col(c).alias(f"_b_{c}") if c not in KEY else F.col(c) for c in OUT_COLS])
+    # presence flags that do not depend on nullable payload columns
+    j = b.withColumn("_in_base", F.lit(True)).join(state.withColumn("_in_new", F.lit(True)), KEY, "full_outer")
+    # free text: whether it is small enough to broadcast is the planner's call
+    j = j.join(countries, "country", "left")
+    in_base, in_new = (F.coalesce(F.col(c), F.lit(False)) for c in ("_in_base", "_in_new"))
+    status = F.when(in_base & in_new, "merged").when(in_base, "unchanged").when(F.col("_known"), "new").otherwise("new_country")
+    j = j.withColumn("_st", status)
+
+    oc = F.coalesce(F.col("_b_description_count"), F.lit(1)).cast("bigint")
+    total = oc + F.col("n")
+    have = state.schema["first"].dataType.names
+    top = F.transform("texts", lambda x: x["t"])
 
     def pick(c):
         if c in KEY:
             return F.col(c)
-        bcol, fcol = F.col(f"_b_{c}"), F.col(f"_first.{c}") if c in first_cols + extra else F.lit(None)
+        old, first = F.col(f"_b_{c}"), F.col(f"first.{c}") if c in have else F.lit(None)
+        merged, summary = old, first
         if c == "description":
-            m = merged_desc
+            known = F.coalesce(split_blank_line("_b_description"), F.array().cast("array<string>"))
+            merged = F.array_join(F.slice(F.concat(known, top), 1, max_descriptions), "\n\n")
+            summary = F.array_join(top, "\n\n")
         elif c in CATEGORIES:
-            m = merged_score(c)
+            mean = F.when(F.col(f"cnt_{c}") > 0, F.col(f"sum_{c}") / F.col(f"cnt_{c}"))
+            merged = round_half_even_1((old * oc + mean * F.col("n")) / total)
+            summary = round_half_even_1(mean)
         elif c == "description_count":
-            m = total
-            fcol = F.coalesce(fcol, F.lit(1)).cast("bigint") if c in extra else F.lit(1).cast("bigint")
+            merged, summary, first = total, F.col("n"), F.coalesce(first, F.lit(1)).cast("bigint")
         elif c == "last_updated":
-            m = today
-            fcol = F.coalesce(fcol.cast("date"), today) if c in extra else today
-        else:
-            m = bcol
-        return F.when(status == "merged", m).when(status == "unchanged", bcol).otherwise(fcol).alias(c)
-
-    matched = j.select(*[pick(c) for c in out_cols], status.alias("merge_status"))
-    if "description_count" in new_out.columns:
-        new_out = new_out.withColumn("description_count", F.coalesce(F.col("description_count"), F.lit(1)).cast("bigint"))
-    else:
-        new_out = new_out.withColumn("description_count", F.lit(1).cast("bigint"))
-    if "last_updated" in new_out.columns:
-        new_out = new_out.withColumn("last_updated", F.coalesce(F.col("last_updated").cast("date"), today))
-    else:
-        new_out = new_out.withColumn("last_updated", today)
-    fresh = new_out.select(*out_cols, F.lit("new_country").alias("merge_status"))
-    return matched.unionByName(fresh)
+            merged = summary = today
+            first = F.coalesce(first.cast("date"), today)
+        at = F.when(F.col("_st") == "merged", merged).when(F.col("_st") == "unchanged", old)
+        return at.when(F.col("_st") == "new", first).otherwise(summary).alias(c)
 
+    return j.select(*[pick(c) for c in OUT_COLS], F.col("_st").alias("merge_status"))
 
-def merge_stats(merged: DataFrame) -> DataFrame:
-    """Number of places per country and merge status."""
-    return merged.groupBy("country", "merge_status").agg(F.count(F.lit(1)).alias("places"))
 
+def merge_catalog(
+    base: DataFrame,
+    new: DataFrame,
+    new_order: list[str],
+    base_order: list[str] | None = None,
+    as_of=None,
+    max_descriptions: int = 5,
+    fuzzy: bool = False,
+    new_countries: str = "rows",
+) -> DataFrame:
+    """Merge ``new`` (normalised, scored rows) into ``base`` (catalogue rows).
+
+    Output: catalogue columns + ``merge_status`` in
+    {unchanged, merged, new, new_country}.
 
-def running_merge_state(new: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """I2 (unrounded variant): (sum, count) per place; mean = sum / count.
+    ``fuzzy``: names of new rows are first resolved against the catalogue's
+    (``resolve_against``: its names lead in ``base_order``, by default by
+    place); the default matches names exactly.  ``new_countries``: rows of a
+    country without a base stay as they are ("rows") or are summarised, one row
+    per place ("summary").
+    """
+    if new_countries not in ("rows", "summary"):
+        raise ValueError(f"new_countries: {new_countries}")
+    base = _catalog(base, base_order)
+    new = _with_catalog_cols(new)
+    known = base.select("country").distinct()
+    if fuzzy:
+        from wayfarer.operators.resolve import resolve_against
+
+        inside = new.join(known, "country", "left_semi")
+        inside = resolve_against(inside, base, ["country"], "place", new_order, base_order or ["place"], out_col="_name")
+        inside = inside.withColumn("place", F.col("_name")).drop("_name")
+        new = inside.select(new.columns).unionByName(new.join(known, "country", "left_anti"))
+    if new_countries == "summary":
+        return merge_state(base, place_state(new, new_order, max_descriptions), as_of, max_descriptions)
+    merged = merge_state(base, place_state(new.join(known, "country", "left_semi"), new_order, max_descriptions), as_of, max_descriptions)
+    today = _as_of(as_of)
+    fresh = new.join(known, "country", "left_anti")
+    count = F.coalesce(F.col("description_count"), F.lit(1)) if "description_count" in new.columns else F.lit(1)
+    stamp = F.coalesce(F.col("last_updated").cast("date"), today) if "last_updated" in new.columns else today
+    fresh = fresh.withColumn("description_count", count.cast("bigint")).withColumn("last_updated", stamp)
+    return merged.unionByName(fresh.select(*OUT_COLS, F.lit("new_country").alias("merge_status")))
 
-    Associative and commutative, so it is the state a stream keeps; it differs
-    from the reference merge by the per-merge 1-decimal rounding."""
-    return new.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(c).cast("double").alias(f"sum_{c}") for c in CATEGORIES],
-        *[F.count(c).alias(f"cnt_{c}") for c in CATEGORIES],
-    )
+
+def merge_stats(merged: DataFrame) -> DataFrame:
+    """Number of places per country and merge status."""
+    return merged.groupBy("country", "merge_status").agg(F.count(F.lit(1)).alias("places"))

@@ -1,11 +1,12 @@
 """Structured Streaming re-aims of the incremental behaviour.
 
-* I1 ``stream_merge``: a drop folder is a file stream; every micro-batch is
-  normalised and merged into the catalogue table inside ``foreachBatch``
-  (the same batch merge as ``merge_catalog``); the stream checkpoint replaces
-  the source's delete-after-success bookkeeping (B7, quirk Q9 fixed).
-* I2 ``running_means``: per-place (sum, count) state in the state store,
-  complete mode, written as a table each trigger - the unrounded running mean.
+* I1 ``stream_merge``: a drop folder is a file stream; every micro-batch adds
+  its rows to mergeable state per place inside ``foreachBatch``, and the
+  catalogue is a view of base and state, equal to one batch merge however the
+  files are cut; the stream checkpoint replaces the source's
+  delete-after-success bookkeeping (B7, quirk Q9 fixed).
+* I2 ``running_means``: per-place (sum, count) in the state store, update mode,
+  upserted into hash buckets each trigger - the unrounded running mean.
 * I3 ``seen_filter``: ``dropDuplicates`` on the URL keeps only unseen URLs.
 * I4: the review log is a file stream with ``review_date`` as the event time;
   no watermark by default because the source never drops late rows.
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfarer.operators.merge import merge_catalog
+from wayfarer.operators.merge import KEY, combine_states, merge_state, place_state
 from wayfarer.schemas import CATEGORIES
 from wayfarer.session import shared_path
+from wayfarer.streaming.store import BucketStore, replaced
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -32,88 +34,81 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return r.load(path)
 
 
+def seed_catalog(base: DataFrame, catalog_path: str) -> None:
+    """The catalogue that the stream merges into: ``base``, one row per place."""
+    base.write.mode("overwrite").parquet(f"{catalog_path}/base")
+
+
+def _state_store(spark: SparkSession, catalog_path: str, schema: T.StructType, buckets: int) -> BucketStore:
+    return BucketStore(spark, f"{catalog_path}/state", KEY, schema, buckets)
+
+
 def stream_merge(
-    spark: SparkSession,
     new_rows: DataFrame,
     catalog_path: str,
     order_cols: list[str],
-    as_of=None,
     checkpoint: str | None = None,
+    buckets: int = 256,
+    max_descriptions: int = 5,
 ) -> None:
-    """Merge each micro-batch into the versioned catalogue at ``catalog_path``.
-
-    Layout: ``data/v=<version>/country=<c>/`` holds catalogue rows and
-    ``pointer/e=<version>/`` maps every country to its current data version.
-    A batch (epoch E) reads only the countries it touches (semi-join + dynamic
-    partition pruning), merges them, writes them as version E+1 and a new
-    pointer version.  A retried epoch rebuilds from pointer versions <= E, so
-    it is idempotent; untouched countries are never rewritten."""
+    """Add the rows of a drop folder to the state of the catalogue at
+    ``catalog_path`` (seeded by ``seed_catalog``).
+
+    The state of each place (``place_state``) holds counts, unrounded sums, the
+    first row and the first descriptions by ``order_cols``, the arrival.  It is
+    mergeable, so however the files are cut into micro-batches, the state and
+    the view of it are those of one batch merge of all rows; rounding happens
+    in ``read_current`` only.  A micro-batch rewrites the hash buckets that it
+    touches; run again, it starts from the version before it.
+    """
+    spark = new_rows.sparkSession
     checkpoint = checkpoint or shared_path(spark, "stream-merge-ckpt")
+    empty = spark.createDataFrame([], new_rows.schema)
+    schema = place_state(empty, order_cols, max_descriptions).schema
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{catalog_path}/state-schema")
 
     def merge_batch(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        sess = batch.sparkSession
-        version = epoch + 1
-        touched = batch.select("country").distinct()
-        base = read_current(sess, catalog_path, upto=version - 1)
-        base_t = base.join(touched, "country", "left_semi")
-        merged = merge_catalog(base_t, batch, order_cols, as_of=as_of).drop("merge_status")
-        merged.write.mode("overwrite").partitionBy("country").parquet(f"{catalog_path}/data/v={version}")
-        ptr = _pointer(sess, catalog_path, upto=version - 1)
-        new_ptr = ptr.join(touched, "country", "left_anti").unionByName(touched.select("country", F.lit(version).alias("v")))
-        new_ptr.write.mode("overwrite").parquet(f"{catalog_path}/pointer/e={version}")
+        state = place_state(batch, order_cols, max_descriptions)
+        store = _state_store(batch.sparkSession, catalog_path, schema, buckets)
+        store.upsert(state, epoch + 1, lambda a, b: combine_states(a, b, max_descriptions))
 
     q = new_rows.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def _pointer(spark: SparkSession, catalog_path: str, upto: int | None = None) -> DataFrame:
-    """Latest pointer version (<= ``upto``): one row per country (bounded)."""
-    p = spark.read.parquet(f"{catalog_path}/pointer")
-    if upto is not None:
-        p = p.where(F.col("e") <= upto)
-    last = p.agg(F.max("e").alias("e"))
-    return p.join(last, "e").select("country", F.col("v").cast("int").alias("v"))
-
-
-def read_current(spark: SparkSession, catalog_path: str, upto: int | None = None) -> DataFrame:
-    """The current catalogue: each country's rows from its pointed-to version
-    (the pointer is one row per country, so it is broadcast)."""
-    # explicit schema: partition values are never type-inferred (a country
-    # such as '007' stays a string)
-    seed = spark.read.parquet(f"{catalog_path}/data/v=0")
-    fields = [f for f in seed.schema.fields if f.name not in ("country", "v")]
-    schema = T.StructType(fields + [T.StructField("country", T.StringType()), T.StructField("v", T.IntegerType())])
-    data = spark.read.schema(schema).option("basePath", f"{catalog_path}/data").parquet(f"{catalog_path}/data")
-    ptr = _pointer(spark, catalog_path, upto)
-    return data.join(F.broadcast(ptr), ["country", "v"]).drop("v")
-
-
-def seed_catalog(spark: SparkSession, base: DataFrame, catalog_path: str) -> None:
-    """Version 0 of the catalogue and its pointer."""
-    base.write.mode("overwrite").partitionBy("country").parquet(f"{catalog_path}/data/v=0")
-    base.select("country").distinct().withColumn("v", F.lit(0)).write.mode("overwrite").parquet(f"{catalog_path}/pointer/e=0")
+def read_current(spark: SparkSession, catalog_path: str, as_of=None, max_descriptions: int = 5) -> DataFrame:
+    """The catalogue as merged so far, with ``merge_status`` (see ``merge_state``)."""
+    base = spark.read.parquet(f"{catalog_path}/base")
+    schema = spark.read.parquet(f"{catalog_path}/state-schema").schema
+    # the number of buckets only matters to writers
+    state = _state_store(spark, catalog_path, schema, 1).read()
+    return merge_state(base, state, as_of, max_descriptions)
 
 
-def running_means(spark: SparkSession, new_rows: DataFrame, out_path: str, keys: list[str] = ["country", "place"], checkpoint: str | None = None) -> None:
-    """Streaming (sum, count) per place; the table at ``out_path`` always
-    holds the complete current state."""
+def running_means(
+    new_rows: DataFrame, out_path: str, keys: list[str] = KEY, checkpoint: str | None = None, buckets: int = 256
+) -> BucketStore:
+    """Streaming (sum, count) per place in the state store.  Each trigger
+    emits the places that it changed (update mode) and rewrites only their hash
+    buckets of the table at ``out_path``; read it by the returned store."""
+    spark = new_rows.sparkSession
     checkpoint = checkpoint or shared_path(spark, "running-mean-ckpt")
     agg = new_rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.col(c).cast("double")).alias(f"sum_{c}") for c in CATEGORIES],
         *[F.count(c).alias(f"cnt_{c}") for c in CATEGORIES],
     )
+    schema = agg.schema
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        BucketStore(batch.sparkSession, out_path, keys, schema, buckets).upsert(batch, epoch + 1, replaced(keys))
 
-    q = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return BucketStore(spark, out_path, keys, schema, buckets)
 
 
-def mean_view(state: DataFrame, keys: list[str] = ["country", "place"]) -> DataFrame:
+def mean_view(state: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return state.select(*keys, "n", *[(F.col(f"sum_{c}") / F.col(f"cnt_{c}")).alias(c) for c in CATEGORIES])
 
 
