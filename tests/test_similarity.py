@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from wayfarer.functions import lcs
 from wayfarer.functions.lcs import Texts, lcs_reaches
 from wayfarer.functions.similarity import lcs_expr, lcs_len, token_sort_key
 from wayfarer.operators import resolve
@@ -65,9 +66,14 @@ def test_batched_lcs_at_and_around_the_threshold():
     assert (lcs_reaches(Texts(texts), i, j, need) == ((exact >= need) | (need <= 0))).all()
 
 
-def test_batches_are_bounded(monkeypatch):
-    from wayfarer.functions import lcs
+@pytest.mark.parametrize("alone", [False, True])
+def test_pairs_alone_and_together_agree(monkeypatch, alone):
+    monkeypatch.setattr(lcs, "_alone_is_cheaper", lambda *_: alone)
+    monkeypatch.setattr(lcs, "ALONE_ROWS", 40)
+    test_batched_lcs_at_and_around_the_threshold()
 
+
+def test_batches_are_bounded(monkeypatch):
     monkeypatch.setattr(lcs, "CELLS", 64)
     monkeypatch.setattr(lcs, "MASK_CELLS", 200)
     test_batched_lcs_at_and_around_the_threshold()
@@ -139,6 +145,18 @@ def test_resolve_names_equals_sequential_model(spark):
     assert got == sequential_leaders(rows, name_match)
 
 
+@pytest.mark.parametrize("finish_edges", [0, 60, 10**6])
+def test_leaders_by_rounds_and_by_one_last_task(spark, finish_edges):
+    rng = random.Random(6)
+    edges = sorted({tuple(sorted(rng.sample(range(150), 2))) for _ in range(400)} | {(i, i + 1) for i in range(30)})
+    vertices = spark.range(160).selectExpr("id AS vid")
+    got = resolve.leader_rounds(vertices, spark.createDataFrame(edges, "src long, dst long"), finish_edges=finish_edges).collect()
+    want = {}
+    for v in range(160):
+        want[v] = min((a for a, b in edges if b == v and want[a] == a), default=v)
+    assert {r.vid: r.leader for r in got} == want
+
+
 def test_similar_name_pairs_are_exactly_the_matches(spark):
     rows = _names(2, 120)
     df = spark.createDataFrame(rows, "seq long, country string, place string")
@@ -166,13 +184,13 @@ def pairs_of(rows):
     }
 
 
-@pytest.mark.parametrize("hot_pairs", [1, 30])
+@pytest.mark.parametrize("hot_pairs", [1, 12])
 def test_hot_signatures_are_split_without_losing_a_pair(spark, monkeypatch, hot_pairs):
     """Most names share their rarest bigrams: every signature counts as hot, is
     split by a second one and cut into tiles of three."""
     rng = random.Random(9)
     stem = "grand central market hall of the old river town"
-    rows = [(i, "A", edited(rng, stem, rng.randint(0, 4))) for i in range(90)] + [(100 + i, g, n) for i, g, n in _names(4, 60)]
+    rows = [(i, "A", edited(rng, stem, rng.randint(0, 4))) for i in range(40)] + [(100 + i, g, n) for i, g, n in _names(4, 20)]
     df = spark.createDataFrame(rows, "seq long, country string, place string")
     plain = resolve.matching_edges
     monkeypatch.setattr(resolve, "matching_edges", lambda v, *a, **k: plain(v, *a, tile=3, hot_pairs=hot_pairs, **k))
@@ -183,8 +201,8 @@ def test_hot_signatures_are_split_without_losing_a_pair(spark, monkeypatch, hot_
 def test_a_hot_signature_spreads_over_tiles(spark):
     """A third of all names share one signature: no tile holds more than two
     chunks of it, and the tiles go to many partitions."""
-    names = [(i, "g", f"shared {i:04d}", 11, 11, 11, "s" if i % 3 == 0 else f"s{i}") for i in range(1200)]
-    rows = spark.createDataFrame(names, "_id long, _g string, key string, _l int, _lo int, _hi int, sig string")
+    names = [(i, "g", 11, 11, 11, "s" if i % 3 == 0 else f"s{i}") for i in range(1200)]
+    rows = spark.createDataFrame(names, "_id long, _g string, _l int, _lo int, _hi int, sig string")
     light, hot = resolve._hot(resolve._sided(rows, None), 1000)
     assert hot.count() == 400 and light.count() == 800
     tiles = resolve._hot_tiles(hot, 50)
@@ -200,8 +218,8 @@ def test_fixed_leaders_equal_sequential_model(spark, monkeypatch, hot_pairs):
     if hot_pairs == 1:
         plain = resolve.matching_edges
         monkeypatch.setattr(resolve, "matching_edges", lambda v, *a, **k: plain(v, *a, **{**k, "tile": 3, "hot_pairs": 1}))
-    base, new = _names(11, 60), _names(12, 200)
-    new += [(1000 + i, g, n) for i, g, n in base[:20]] + [(2000, "C", "only here"), (2001, "C", "only herr"), (2002, None, "x y z"), (2003, "A", None)]
+    base, new = _names(11, 30), _names(12, 70)
+    new += [(1000 + i, g, n) for i, g, n in base[:10]] + [(2000, "C", "only here"), (2001, "C", "only herr"), (2002, None, "x y z"), (2003, "A", None)]
     schema = "seq long, country string, place string"
     got = resolve_against(spark.createDataFrame(new, schema), spark.createDataFrame(base, schema), ["country"], "place", ["seq"], ["seq"])
     leaders = {}
