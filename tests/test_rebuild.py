@@ -113,7 +113,8 @@ def test_update_catalog_from_folder(spark, tmp_dir):
         f.write(hdr + "TH,Wat Arun,new review," + ",".join(["8"] * 10) + "\n")
         f.write("TH,Fresh,nice place," + ",".join(["3"] * 10) + "\n")
     ledger = shared_path(spark, "ledger")
-    assert update_catalog_from_folder(spark, f"file://{tmp_dir}/drop", cat, ledger, as_of="2024-02-02") is not None
+    stats = update_catalog_from_folder(spark, f"file://{tmp_dir}/drop", cat, ledger, as_of="2024-02-02")
+    assert sorted(map(tuple, stats.collect())) == [("TH", "merged", 1), ("TH", "new", 1)]
     got = {(r.country, r.place): r for r in read_catalog(spark, cat).collect()}
     assert got[("TH", "Wat Arun")].romance == 7.0 and got[("TH", "Wat Arun")].description_count == 2
     assert got[("TH", "Fresh")].description_count == 1

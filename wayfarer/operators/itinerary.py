@@ -4,8 +4,10 @@ F4, F5, F7, G2, G3, G6, G7, H7, H9).
 Itineraries are one long table ``(route, seq, day, <catalogue columns>)``;
 ``seq`` is the insertion order within a route.  Per-route strings (directions
 URL, KML) are built with a two-level ordered aggregation: first per
-(route, seq-chunk), then per route over the chunk strings, so a long route is
-never sorted whole inside one task.
+(route, seq-chunk), then per route over the chunk strings; the string of a
+route, the result itself, is one row.  Positions within routes come from
+``segmented_positions``, sections from the route's distinct days, so a route
+with a third of all stops is never sorted whole inside one task.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions.aggs import round_half_even_1
 from wayfarer.functions.text import strip, xml_escape
+from wayfarer.operators.ordering import segmented_positions
 
 # --- fixed values: export formats ---
 DIRECTIONS_BASE = "https://www.google.com/maps/dir/"
@@ -68,14 +71,12 @@ def trip_metrics(it: DataFrame) -> DataFrame:
 
 
 def value_counts(it: DataFrame, col: str) -> DataFrame:
-    """Per route counts of ``col`` values (NULLs excluded).  A table has
-    no order: sort the result by ``n`` descending where it is shown."""
-    return (
-        it.where(F.col(col).isNotNull())
-        .groupBy(KEY, F.col(col).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(KEY, F.lit(col).alias("facet"), "value", "n")
-    )
+    """Per route counts of ``col`` values (NULLs excluded), descending:
+    ``rank`` is a value's place (from 1), of equal counts the smaller value
+    first.  The sort is over a route's distinct values, not over its stops."""
+    counts = it.where(F.col(col).isNotNull()).groupBy(KEY, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(KEY).orderBy(F.desc("n"), "value")
+    return counts.select(KEY, F.lit(col).alias("facet"), "value", "n", F.row_number().over(w).cast("long").alias("rank"))
 
 
 def per_day_counts(it: DataFrame) -> DataFrame:
@@ -85,16 +86,25 @@ def per_day_counts(it: DataFrame) -> DataFrame:
 
 def stop_numbers(it: DataFrame) -> DataFrame:
     """stop number = insertion position + 1, kept through any re-sort."""
-    w = Window.partitionBy(KEY).orderBy("seq")
-    return it.withColumn("stop_no", F.row_number().over(w))
+    return segmented_positions(it, [KEY], ["seq"], "stop_no")
 
 
 def day_sections(it: DataFrame) -> DataFrame:
-    """F7 + F4: sort by day (stable on insertion order); a new section starts
-    whenever the day differs from the previous row's."""
-    w = Window.partitionBy(KEY).orderBy("day", "seq")
-    change = F.when(F.lag("day").over(w).isNull() | (F.lag("day").over(w) != F.col("day")), 1).otherwise(0)
-    return it.withColumn("_chg", change).withColumn("section", F.sum("_chg").over(w)).drop("_chg")
+    """F7 + F4: stops by day, then insertion order; a new section starts
+    whenever the day differs from the previous stop's.
+
+    Sorted by day, the stops of one day are one section, so its number is the
+    day's rank among the route's distinct days: a table of one row per route
+    and day.  Stops without a day come first and each is a section of its own,
+    as an unknown day differs from any other."""
+    days = it.where("day IS NOT NULL").select(KEY, "day").distinct()
+    rank = days.withColumn("section", F.row_number().over(Window.partitionBy(KEY).orderBy("day")).cast("long"))
+    unknown = it.where("day IS NULL")
+    ahead = unknown.groupBy(F.col(KEY).alias("_r")).agg(F.count(F.lit(1)).alias("_ahead"))
+    known = it.alias("i").join(rank.alias("d"), (F.col(f"i.{KEY}").eqNullSafe(F.col(f"d.{KEY}"))) & (F.col("i.day") == F.col("d.day")))
+    known = known.select(*[F.col(f"i.{c}") for c in it.columns], "d.section").join(ahead, F.col(KEY).eqNullSafe(F.col("_r")), "left")
+    known = known.withColumn("section", F.col("section") + F.coalesce("_ahead", F.lit(0))).select(*it.columns, "section")
+    return known.unionByName(segmented_positions(unknown, [KEY], ["seq"], "section"))
 
 
 def quote_url(c: Column) -> Column:
@@ -137,8 +147,8 @@ def merge_routes(it: DataFrame, mapping: DataFrame) -> DataFrame:
     """``mapping(route, new_route, part)``: the routes of one new route are
     concatenated in ``part`` order (duplicates kept) and re-sequenced."""
     m = it.join(mapping, KEY).drop(KEY).withColumnRenamed("new_route", KEY)
-    w = Window.partitionBy(KEY).orderBy("part", "seq")
-    return m.withColumn("seq", F.row_number().over(w).cast("long")).drop("part")
+    m = segmented_positions(m, [KEY], ["part", "seq"], "_position")
+    return m.withColumn("seq", F.col("_position")).drop("part", "_position")
 
 
 def duplicate_routes(it: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -162,14 +172,13 @@ def add_places(it: DataFrame, additions: DataFrame, order_cols: list[str] | None
     new stops are sequenced after the route's last stop, in ``order_cols``
     order (arrival), else by place.  Of several additions of one place to one
     route the first stays, as each is checked against what was added before."""
-    order = [F.col(c) for c in (order_cols or ["place"])]
-    one = Window.partitionBy(KEY, "place").orderBy(*order)
+    order = order_cols or ["place"]
+    one = Window.partitionBy(KEY, "place").orderBy(*order)  # the first only: limited before the shuffle
     additions = additions.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
     new = additions.join(it.select(KEY, "place").distinct(), [KEY, "place"], "left_anti")
     last = it.groupBy(KEY).agg(F.max("seq").alias("_last"))
-    w = Window.partitionBy(KEY).orderBy(*order, "place")
-    new = new.join(last, KEY, "left").withColumn("seq", F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).drop("_last")
-    return new
+    placed = segmented_positions(new, [KEY], [*order, "place"], "_position").join(last, KEY, "left")
+    return placed.withColumn("seq", F.coalesce("_last", F.lit(0)) + F.col("_position")).drop("_last", "_position")
 
 
 def export_clean(it: DataFrame, text_cols: list[str]) -> DataFrame:

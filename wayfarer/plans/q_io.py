@@ -98,10 +98,10 @@ def q_distinct_places(spark, sf_dir):
 
 
 def reviews(spark, sf_dir):
-    """User turns as reviews: conv_id -> a catalogue place (part of that key) or,
+    """Turns as reviews: conv_id -> a catalogue place (part of that key) or,
     for conv_id % 3 = 2, a new place whose country is missing on even turns;
     text blank on turn % 5 = 4."""
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     j = c.join(part, c.conv_id == part.p_partkey, "left")
     new = F.col("conv_id") % 3 == 2
@@ -123,7 +123,7 @@ r AS (SELECT c.conv_id, c.turn,
              CASE WHEN c.conv_id % 3 = 2 THEN 'Place ' || CAST(c.conv_id AS VARCHAR) ELSE pt.p_name END AS place,
              CASE WHEN c.conv_id % 3 = 2 AND c.turn % 2 = 1 THEN 'NATION_1' END AS country,
              CASE WHEN c.turn % 5 = 4 THEN '  ' ELSE c.text END AS description, c.conv_id % 3 = 2 AS is_new_place
-      FROM conversations c LEFT JOIN part pt ON c.conv_id = pt.p_partkey WHERE c.role = 'user'),
+      FROM conversations c LEFT JOIN part pt ON c.conv_id = pt.p_partkey),
 f AS (SELECT place, arg_min({'country': country, 'region': region}, country) AS v FROM s GROUP BY place)
 SELECT r.conv_id, r.turn, r.place, coalesce(r.country, f.v.country) AS country, f.v.region AS region,
        CAST(regexp_replace(coalesce(r.description, ''), '^\\s+|\\s+$', '', 'g') <> ''

@@ -1,19 +1,21 @@
 """Catalogue queries: itineraries, trip metrics, exports, route edits, stations.
 
-Itinerary = one stop per order: route = 'R' || o_custkey, seq = o_orderkey
-(insertion order), day = day of month of o_orderdate, the stop's place is the
-order's first line item's (country, place), and the stop carries that place's
-catalogue row (summary of P).
+Itinerary = one stop per line item: route = 'R' || o_custkey, seq (insertion
+order) = 1000 * o_orderkey + the line's position in its order, day = day of
+month of o_orderdate plus the line number less one, the stop's place is the
+line item's (country, place), and the stop carries that place's catalogue row
+(summary of P).
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions.text import latin1_clean
 from wayfarer.operators import itinerary as I
 from wayfarer.operators.serve import card_fields
-from wayfarer.plans.places import place_rows
+from wayfarer.plans.places import ORDER, place_rows
 from wayfarer.plans.q_summary import summary_of_p
 from wayfarer.plans.registry import query
 from wayfarer.plans.sqlparts import strip, summary_sql, with_p
@@ -21,17 +23,13 @@ from wayfarer.session import table
 
 
 def itineraries(spark, sf_dir):
-    p = (
-        place_rows(spark, sf_dir)
-        .groupBy("l_orderkey")
-        .agg(F.min_by(F.struct("country", "place"), F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("_f"))
-        .select("l_orderkey", "_f.country", "_f.place")
-    )
+    p = place_rows(spark, sf_dir).select(*ORDER, "country", "place")
+    p = p.withColumn("_nth", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER[1:])))  # lines of one order
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     st = p.join(o, p.l_orderkey == o.o_orderkey).select(
         F.concat(F.lit("R"), F.col("o_custkey").cast("string")).alias("route"),
-        F.col("o_orderkey").alias("seq"),
-        F.dayofmonth("o_orderdate").alias("day"),
+        (F.col("o_orderkey") * 1000 + F.col("_nth")).alias("seq"),
+        (F.dayofmonth("o_orderdate") + F.col("l_linenumber") - 1).cast("int").alias("day"),
         "o_custkey",
         "country",
         "place",
@@ -41,13 +39,10 @@ def itineraries(spark, sf_dir):
 
 IT = with_p(
     f"""s AS ({summary_sql()}),
-fp AS (SELECT l_orderkey, f.country, f.place
-       FROM (SELECT l_orderkey, arg_min({{'country': country, 'place': place}},
-                                        {{'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey}}) AS f
-             FROM p GROUP BY l_orderkey)),
-it AS (SELECT 'R' || CAST(o.o_custkey AS VARCHAR) AS route, o.o_orderkey AS seq,
-              CAST(dayofmonth(o.o_orderdate) AS INTEGER) AS day, o.o_custkey, s.*
-       FROM fp p JOIN orders o ON p.l_orderkey = o.o_orderkey
+it AS (SELECT 'R' || CAST(o.o_custkey AS VARCHAR) AS route, o.o_orderkey * 1000 + p.nth AS seq,
+              CAST(dayofmonth(o.o_orderdate) + p.l_linenumber - 1 AS INTEGER) AS day, o.o_custkey, s.*
+       FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth FROM p) p
+       JOIN orders o ON p.l_orderkey = o.o_orderkey
        JOIN s ON p.country = s.country AND p.place = s.place)"""
 )
 
@@ -68,9 +63,10 @@ def q_itinerary_metrics(spark, sf_dir):
     "type_counts",
     sql=IT
     + """
-SELECT route, 'place_type' AS facet, place_type AS value, count(*) AS n FROM it WHERE place_type IS NOT NULL GROUP BY 1, 3
-UNION ALL
-SELECT route, 'country', country, count(*) FROM it WHERE country IS NOT NULL GROUP BY 1, 3""",
+SELECT *, row_number() OVER (PARTITION BY route, facet ORDER BY n DESC, value) AS rank
+FROM (SELECT route, 'place_type' AS facet, place_type AS value, count(*) AS n FROM it WHERE place_type IS NOT NULL GROUP BY 1, 3
+      UNION ALL
+      SELECT route, 'country', country, count(*) FROM it WHERE country IS NOT NULL GROUP BY 1, 3)""",
 )
 def q_type_counts(spark, sf_dir):
     it = itineraries(spark, sf_dir)
@@ -230,15 +226,16 @@ def q_route_edit(spark, sf_dir):
     + """,
 adds AS (SELECT DISTINCT 'R' || CAST(c.c_custkey AS VARCHAR) AS route, s.place, s.country
          FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-         JOIN s ON s.country = n.n_name AND s.place = 'red widget'
+         JOIN s ON s.country = n.n_name
          WHERE 'R' || CAST(c.c_custkey AS VARCHAR) IN (SELECT route FROM it)),
 new AS (SELECT * FROM adds a WHERE NOT EXISTS (SELECT 1 FROM it WHERE it.route = a.route AND it.place = a.place))
-SELECT new.route, new.place, new.country, m.last + 1 AS seq, 1 AS day
+SELECT new.route, new.place, new.country, m.last + row_number() OVER (PARTITION BY new.route ORDER BY new.place) AS seq, 1 AS day
 FROM new JOIN (SELECT route, max(seq) AS last FROM it GROUP BY route) m USING (route)""",
 )
 def q_add_guard(spark, sf_dir):
+    """Every place of a customer's country is offered to the customer's route."""
     it = itineraries(spark, sf_dir)
-    s = summary_of_p(spark, sf_dir).where(F.col("place") == "red widget")
+    s = summary_of_p(spark, sf_dir)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
     adds = (

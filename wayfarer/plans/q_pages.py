@@ -23,17 +23,33 @@ from wayfarer.sources.pages import (
 from wayfarer.sources.registry import explode_registry, read_registry, select_tasks, write_registry
 
 U = "'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)'"
-LINKS_SQL = f"""links AS (
+# Links that the pages lack, put in front of them: other spellings of the tag
+# and attribute, navigation links, and one page in ten with 150 links.
+HARD = """<A data-href="/no" title='a > b' HREF=/bare/{id}><a title='href="/fake"' href='/tag/{id}'><a
+ class=x href = "/two">2</a><abbr href="/abbr"><a name=top>"""
+
+# The oracle cuts tags at '<a' and lists a tag's attributes, so it shares no
+# pattern with the operator.
+_PAIR = r"""[^\s=>/"'']+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"''][^\s>]*)"""
+_HARD_SQL = "'" + HARD.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{id}", "' || CAST(page_id AS VARCHAR) || '") + "'"
+LINKS_SQL = f"""noisy AS (
+  SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN {_HARD_SQL} ELSE '' END ||
+    CASE WHEN page_id % 10 = 1 THEN array_to_string(list_transform(range(1, 151), lambda i: '<a href="/n/' || i || '">n</a>'), '') ELSE '' END
+    || html AS html FROM pages),
+tags AS (SELECT page_id, url, string_split_regex(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'),
+                                                 '(?i)<a[\\s/]')[2:] AS t FROM noisy),
+attrs AS (SELECT page_id, url, list_transform(t, lambda x: list_filter(regexp_extract_all(regexp_extract(x, '^(?:[^>"'']|"[^"]*"|''[^'']*'')*'),
+                                                                        '{_PAIR}'), lambda y: regexp_matches(y, '(?i)^href\\s*='))) AS found FROM tags),
+hrefs AS (SELECT page_id, url, list_transform(list_filter(found, lambda f: len(f) > 0), lambda f: regexp_replace(f[1], '^[^=]*=\\s*', '')) AS raw FROM attrs),
+links AS (
   SELECT page_id, url, pos, href,
          CASE WHEN href LIKE '/%' THEN lower(regexp_extract(url, {U}, 1)) || '://' || regexp_extract(url, {U}, 2) || href
               ELSE href END AS link
   FROM (SELECT page_id, url,
                replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS href,
                pos
-        FROM (SELECT page_id, url, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS pos
-              FROM (SELECT page_id, url,
-                           regexp_extract_all(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'),
-                                              '<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages)))),
+        FROM (SELECT page_id, url, CASE WHEN v[1] IN ('"', '''') THEN v[2:-2] ELSE v END AS h, pos
+              FROM (SELECT page_id, url, unnest(raw) AS v, generate_subscripts(raw, 1) - 1 AS pos FROM hrefs)))),
 filtered AS (SELECT * FROM links WHERE strpos(link, regexp_extract(url, {U}, 2)) > 0
              AND {' AND '.join(f"strpos(link, '{x}') = 0" for x in LINK_EXCLUDE)}),
 top AS (SELECT page_id, url, link, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank
@@ -44,36 +60,56 @@ def _pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
+def _noisy_pages(spark, sf_dir):
+    i = F.col("page_id")
+    hard = F.when(i % 3 == 0, F.replace(F.lit(HARD), F.lit("{id}"), i.cast("string"))).otherwise(F.lit(""))
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150)), lambda k: F.concat(F.lit('<a href="/n/'), k.cast("string"), F.lit('">n</a>'))), "")
+    return _pages(spark, sf_dir).withColumn("html", F.concat(hard, F.when(i % 10 == 1, many).otherwise(F.lit("")), F.col("html")))
+
+
 @query("page_links", sql=f"WITH {LINKS_SQL} SELECT page_id, pos, href, link FROM links")
 def q_page_links(spark, sf_dir):
-    return page_links(_pages(spark, sf_dir)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "link")
+    return page_links(_noisy_pages(spark, sf_dir)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "link")
 
 
 @query("link_filter", sql=f"WITH {LINKS_SQL} SELECT page_id, pos, link FROM filtered")
 def q_link_filter(spark, sf_dir):
-    return filter_links(page_links(_pages(spark, sf_dir))).select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
+    return filter_links(page_links(_noisy_pages(spark, sf_dir))).select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
 
 
 @query("link_top100", sql=f"WITH {LINKS_SQL} SELECT page_id, link, rank FROM top WHERE rank <= 100")
 def q_link_top100(spark, sf_dir):
-    t = top_links(filter_links(page_links(_pages(spark, sf_dir))), 100)
+    t = top_links(filter_links(page_links(_noisy_pages(spark, sf_dir))), 100)
     return t.select("page_id", "link", F.col("rank").cast("bigint"))
 
 
+_SITE = f"""site AS (SELECT page_id, link, rank, regexp_extract(url, {U}, 2) AS blog,
+                  coalesce(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1), '/')[2], '') AS country
+           FROM top),
+seen AS (SELECT blog, country, link FROM site WHERE rank % 2 = 0 UNION ALL SELECT blog, 'elsewhere', link FROM site WHERE rank % 3 = 0)"""
+
+
 @query(
     "unseen_urls",
-    sql=f"WITH {LINKS_SQL} SELECT page_id, link FROM top WHERE link NOT IN (SELECT url FROM pages)",
+    sql=f"""WITH {LINKS_SQL}, {_SITE}
+SELECT page_id, link FROM site s
+WHERE NOT EXISTS (SELECT 1 FROM seen k WHERE k.blog = s.blog AND k.country = s.country AND k.link = s.link)""",
 )
 def q_unseen_urls(spark, sf_dir):
-    p = _pages(spark, sf_dir)
-    t = top_links(filter_links(page_links(p)))
-    return unseen(t, p.select(F.col("url").alias("source_url"))).select("page_id", "link")
+    """Links not yet scraped for their blog and country.  Of every page's
+    links the even ones were; others only under another country, so they stay."""
+    site = top_links(filter_links(page_links(_noisy_pages(spark, sf_dir)))).withColumns(
+        {"blog": url_netloc("url"), "country": url_path_segment("url", 1)}
+    )
+    here = site.where("rank % 2 = 0").select("blog", "country", F.col("link").alias("source_url"))
+    other = site.where("rank % 3 = 0").select("blog", F.lit("elsewhere").alias("country"), F.col("link").alias("source_url"))
+    return unseen(site, here.unionByName(other), per=["blog", "country"]).select("page_id", "link")
 
 
 @query("url_choice_stub", sql=f"WITH {LINKS_SQL} SELECT page_id, link FROM top")
 def q_url_choice_stub(spark, sf_dir):
     """J7 with the default chooser (keep all) followed by the domain check C20."""
-    t = top_links(filter_links(page_links(_pages(spark, sf_dir))))
+    t = top_links(filter_links(page_links(_noisy_pages(spark, sf_dir))))
     return choose_urls(t).select("page_id", "link")
 
 

@@ -82,7 +82,8 @@ def update_catalog_from_folder(
     ledger are read; only the countries they touch are read from the
     partitioned catalogue (semi-join, partition pruning) and rewritten
     (dynamic partition overwrite); the files are then recorded as processed.
-    Returns the merge statistics, or None when nothing is new."""
+    Returns the run's statistics (E19: places per country and merge status), or
+    None when nothing is new."""
     from wayfarer.sources.csv import new_files_only, read_catalog, read_csv_dir, record_processed, write_catalog
 
     rows = new_files_only(read_csv_dir(spark, drop_folder), ledger_path)
@@ -94,7 +95,8 @@ def update_catalog_from_folder(
     base = read_catalog(spark, catalog_path).join(touched, "country", "left_semi")
     merged = merge_catalog(base, scored, ["_file", "_row"], as_of=as_of)
     stage = catalog_path.rstrip("/") + "._next"
-    merged.drop("merge_status").write.mode("overwrite").parquet(stage)  # the plan reads the catalogue (T9)
-    write_catalog(spark.read.parquet(stage), catalog_path)
+    merged.write.mode("overwrite").parquet(stage)  # the plan reads the catalogue (T9)
+    merged = spark.read.parquet(stage)
+    write_catalog(merged.drop("merge_status"), catalog_path)
     record_processed(rows, ledger_path)
-    return merge_stats(spark.read.parquet(stage).withColumn("merge_status", F.lit("written")))
+    return merge_stats(merged)

@@ -31,21 +31,26 @@ def _split_header(line: str) -> list[str]:
     return next(csv.reader([line.lstrip("﻿")]))
 
 
-def header_layouts(spark: SparkSession, root: str, glob: str = "*.csv") -> dict[tuple, list[str]]:
-    """Map header layout -> files (the only driver-side collect: one row per layout)."""
-    t = (
+def file_headers(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """(file, header): the first line of every file below ``root``; an empty
+    file has none and is left out."""
+    lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .text(root)
-        .select(F.col("value"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
-        .where(F.col("b") == 0)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+        .where(F.col("_start") == 0)
         .withColumn("_id", F.monotonically_increasing_id())
     )
-    heads = t.groupBy("f").agg(F.min_by("value", "_id").alias("h"))
-    by_layout = heads.groupBy("h").agg(F.collect_list("f").alias("files")).collect()
+    return lines.groupBy("file").agg(F.min_by("value", "_id").alias("header"))
+
+
+def header_layouts(spark: SparkSession, root: str, glob: str = "*.csv") -> dict[tuple, list[str]]:
+    """Map header layout -> files (the only driver-side collect: one row per layout)."""
+    by_layout = file_headers(spark, root, glob).groupBy("header").agg(F.collect_list("file").alias("files")).collect()
     out: dict[tuple, list[str]] = {}
     for r in by_layout:
-        key = tuple(_split_header(r["h"] or ""))
+        key = tuple(_split_header(r["header"] or ""))
         out.setdefault(key, []).extend(sorted(r["files"]))
     return out
 

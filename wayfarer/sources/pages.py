@@ -1,7 +1,8 @@
 """Web-page table as a source.
 
 Fetching is not rebuilt: pages arrive as a table ``(page_id, url, html)``.
-Links come from a JVM-side regex; visible text from a stdlib ``html.parser``
+Links come from JVM-side expressions that read tags attribute by attribute
+(unquoted, single- and double-quoted values, any case); visible text from a stdlib ``html.parser``
 run in an Arrow pandas UDF (nested subtree drops cannot be a regex).
 """
 
@@ -20,7 +21,11 @@ from wayfarer.functions.urls import absolutize, html_unescape_basic, url_netloc
 from wayfarer.schemas import EXTRACTED_JSON, HTML_DROP_TAGS, LINK_EXCLUDE
 from wayfarer.session import spread_for_python
 
-HREF_RE = r'<a\s[^>]*href="([^"]*)"'
+# one attribute: a name, and a value in double or single quotes or without
+_ATTRIBUTE = r"""[^\s=>/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?"""
+# an <a> tag up to its first href: attributes before it are read whole, so
+# quoted text that looks like one, '>' in a value or data-href do not count
+HREF_RE = rf"""(?is)<a(?:[\s/]+{_ATTRIBUTE})*?[\s/]+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))"""
 # script/style bodies and comments are not markup: links inside them do not count
 NON_MARKUP_RE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
@@ -28,8 +33,9 @@ NON_MARKUP_RE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 def page_links(pages: DataFrame) -> DataFrame:
     """H19 + H6: every ``<a href>`` of a page with its position, made absolute."""
     markup = F.regexp_replace("html", NON_MARKUP_RE, " ")
-    x = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(markup, F.lit(HREF_RE), 1)).alias("pos", "href"))
-    href = html_unescape_basic(F.col("href"))
+    x = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(markup, F.lit(HREF_RE), 0)).alias("pos", "tag"))
+    double, single, bare = (F.regexp_extract("tag", HREF_RE, i) for i in (1, 2, 3))  # at most one is not empty
+    href = html_unescape_basic(F.concat(double, single, bare))
     return x.select("page_id", "url", "pos", href.alias("href"), absolutize(href, F.col("url")).alias("link"))
 
 
@@ -66,9 +72,14 @@ def choose_urls(links: DataFrame, chooser: Callable[[pd.DataFrame], pd.Series] |
     return links.where(F.col("link").contains(url_netloc("url")))
 
 
-def unseen(links: DataFrame, seen: DataFrame, col: str = "link", seen_col: str = "source_url") -> DataFrame:
-    """Drop links already scraped."""
-    return links.join(seen.select(F.col(seen_col).alias(col)).distinct(), col, "left_anti")
+def unseen(links: DataFrame, seen: DataFrame, col: str = "link", seen_col: str = "source_url", per: list[str] | None = None) -> DataFrame:
+    """Drop links already scraped; with ``per`` (such as blog and country,
+    columns of both tables) only under the same values of those columns."""
+    known = seen.select(*(per or []), F.col(seen_col).alias(col)).distinct().alias("k")
+    same = F.lit(True)
+    for c in [*(per or []), col]:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"k.{c}"))
+    return links.alias("l").join(known, same, "left_anti")
 
 
 class _TextParser(HTMLParser):
