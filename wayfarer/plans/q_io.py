@@ -12,6 +12,7 @@ from wayfarer.plans.q_summary import AS_OF, summary_of_p
 from wayfarer.plans.registry import query
 from wayfarer.plans.sqlparts import summary_sql, with_p
 from wayfarer.session import shared_path, table
+from wayfarer.sources.catalog import load_catalog, publish_catalog, quality_report_files
 from wayfarer.sources.csv import read_catalog, read_csv_dir, with_folder_country, with_maps_alias, write_catalog, write_csv
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -168,3 +169,79 @@ def q_incremental_update(spark, sf_dir):
     new = docs_new_data(spark, sf_dir).where(F.col("doc_id") % 2 == 1)
     merged, stats = incremental_update(new, base, ["doc_id"], as_of="2024-07-01", output_path=shared_path(spark, "update-out"))
     return stats
+
+
+@query(
+    "published_catalog",
+    sql=with_p(f"s AS ({summary_sql()})")
+    + """
+SELECT country || '_processed.csv' AS file, country, place, region, place_type, md5(description) AS description_md5,
+       romance, cost, description_count FROM s""",
+)
+def q_published_catalog(spark, sf_dir):
+    """One named CSV per country, published in two phases, read
+    back by name."""
+    root = shared_path(spark, "published")
+    publish_catalog(summary_of_p(spark, sf_dir), root)
+    back = read_csv_dir(spark, root, glob="*_processed.csv")
+    return back.select(
+        F.element_at(F.split("_file", "/"), -1).alias("file"),
+        "country",
+        "place",
+        F.coalesce("region", F.lit("")).alias("region"),
+        F.coalesce("place_type", F.lit("")).alias("place_type"),
+        F.md5(F.coalesce("description", F.lit(""))).alias("description_md5"),
+        *[F.col(c).cast("int").alias(c) for c in ("romance", "cost")],
+        F.col("description_count").cast("bigint").alias("description_count"),
+    )
+
+
+@query(
+    "catalog_cache",
+    sql=with_p(f"s AS ({summary_sql()})") + "\nSELECT country, count(*) AS places, sum(description_count) AS descriptions FROM s GROUP BY country",
+)
+def q_catalog_cache(spark, sf_dir):
+    """The published catalogue loaded through its cache; the second load
+    reads the copy."""
+    root, cache = shared_path(spark, "published"), shared_path(spark, "cache")
+    publish_catalog(summary_of_p(spark, sf_dir), root)
+    load_catalog(spark, root, cache)
+    c = load_catalog(spark, root, cache)
+    return c.groupBy("country").agg(
+        F.count(F.lit(1)).alias("places"), F.sum(F.col("description_count").cast("bigint")).alias("descriptions")
+    )
+
+
+_REPORT_ROWS = """SELECT CASE l_returnflag WHEN 'R' THEN 'all' WHEN 'A' THEN 'no_text' ELSE 'no_place' END AS folder, country,
+         CASE WHEN l_linenumber = 2 THEN '  ' WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 4 THEN 'Not enough information here'
+              ELSE description END AS d FROM p"""
+
+
+@query(
+    "quality_report_files",
+    sql=with_p(
+        f"""r AS ({_REPORT_ROWS}),
+f AS (SELECT country || '_processed.csv' AS file, folder, count(*) AS rows,
+             CASE folder WHEN 'all' THEN 0 ELSE 1 END AS missing_required,
+             CASE folder WHEN 'all' THEN '' WHEN 'no_text' THEN 'description' ELSE 'place' END AS missing_columns,
+             CASE folder WHEN 'no_text' THEN 0 ELSE count(*) FILTER (d IS NULL OR trim(d) = '') END AS blank_descriptions,
+             CASE folder WHEN 'no_text' THEN 0 ELSE count(*) FILTER (d = 'Not enough information here') END AS placeholder_descriptions,
+             CASE folder WHEN 'all' THEN 0 ELSE 2 END AS status
+      FROM r GROUP BY country, folder)"""
+    )
+    + """
+SELECT * FROM f
+UNION ALL
+SELECT NULL, NULL, sum(rows), sum(missing_required), NULL, sum(blank_descriptions), sum(placeholder_descriptions), max(status) FROM f""",
+)
+def q_quality_report_files(spark, sf_dir):
+    """P published in three layouts, two of them short of a column,
+    judged file by file."""
+    ln, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    text = F.when(ln == 2, "  ").when(ln == 3, F.lit(None)).when(ln == 4, "Not enough information here").otherwise(F.col("description"))
+    p = place_rows(spark, sf_dir).withColumn("description", text)
+    root = shared_path(spark, "report")
+    publish_catalog(p.where(flag == "R").select("place", "country", "description"), f"{root}/all")
+    publish_catalog(p.where(flag == "A").select("country", "place", "region"), f"{root}/no_text")
+    publish_catalog(p.where(flag == "N").select("region", "description", "country"), f"{root}/no_place", order_by="description")
+    return quality_report_files(spark, root)

@@ -3,7 +3,9 @@ checked file by file and loaded through a cache (A7, A10, B1, B9, B10, E14)."""
 
 from __future__ import annotations
 
+import re
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,11 @@ def csv_field(c: Column) -> Column:
     return F.when(s.isNull(), "").when(s.rlike('[",\r\n]'), quoted).otherwise(s)
 
 
+def file_name(country: str) -> str:
+    """A country's file; characters that a path can't hold are percent-encoded."""
+    return re.sub(r"[/\\:%\x00-\x1f]", lambda m: f"%{ord(m[0]):02X}", country) + SUFFIX
+
+
 def publish_catalog(df: DataFrame, path: str, order_by: str = "place") -> list[str]:
     """Write ``path/{country}_processed.csv`` (UTF-8 with BOM, header, rows by
     ``order_by``) for every country of ``df``; files of other countries stay.
@@ -69,7 +76,7 @@ def finish_publish(spark: SparkSession, path: str) -> list[str]:
                 name = folder.getPath().getName()
                 if not folder.isDirectory() or not name.startswith("c="):
                     continue
-                target = jvm.org.apache.hadoop.fs.Path(root, name[2:] + SUFFIX)
+                target = jvm.org.apache.hadoop.fs.Path(root, file_name(unquote(name[2:])))
                 for part in fs.listStatus(folder.getPath()):
                     if part.getPath().getName().startswith("part-"):
                         if fs.exists(target):

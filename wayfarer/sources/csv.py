@@ -16,7 +16,7 @@ pandas' NA spellings become NULL (T2); the folder name fills a missing or NULL
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,12 @@ def _split_header(line: str) -> list[str]:
     return next(csv.reader([line.lstrip("﻿")]))
 
 
+def _source_path() -> Column:
+    """The file of a row as a plain path (the metadata column is a URI, in
+    which a space reads %20)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def file_headers(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     """(file, header): the first line of every file below ``root``; an empty
     file has none and is left out."""
@@ -38,7 +44,7 @@ def file_headers(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFra
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .text(root)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+        .select("value", _source_path().alias("file"), F.col("_metadata.file_block_start").alias("_start"))
         .where(F.col("_start") == 0)
         .withColumn("_id", F.monotonically_increasing_id())
     )
@@ -95,7 +101,7 @@ def read_csv_dir(
             .option("mode", "PERMISSIVE")
             .option("ignoreCorruptFiles", True)
             .csv(files)
-            .withColumn("_file", F.col("_metadata.file_path"))
+            .withColumn("_file", _source_path())
             # multiLine files are never split: ids rise in row order within a file
             .withColumn("_mid", F.monotonically_increasing_id())
         )
