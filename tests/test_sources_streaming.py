@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfarer.operators.merge import merge_catalog
+from wayfarer.operators.reviews import admit_reviews, append_reviews, review_record
 from wayfarer.operators.training import label_vector, ordinal_ids, read_labelled, unlabelled, write_labelled
-from wayfarer.schemas import CATEGORIES
+from wayfarer.schemas import CATEGORIES, NEW_DATA
 from wayfarer.session import shared_path
 from wayfarer.sources.csv import read_csv_dir, with_folder_country, with_maps_alias
 from wayfarer.sources.pages import filter_links, html_to_text, page_links, top_links, unseen
 from wayfarer.sources.registry import explode_registry, read_registry, select_tasks
-from wayfarer.streaming.ingest import file_stream, mean_view, read_current, running_means, seed_catalog, seen_filter, stream_merge
+from wayfarer.streaming.ingest import file_stream, mean_view, read_current, review_stream, running_means, seed_catalog, seen_filter, stream_merge
 from wayfarer.streaming.store import BucketStore, replaced
 
 
@@ -166,3 +167,33 @@ def test_running_mean_and_seen(spark):
     seen_out = shared_path(spark, "t-seen")
     seen_filter(spark, file_stream(spark, drop, rows.drop("seq").schema, max_files=1), "place", seen_out)
     assert sorted(r.place for r in spark.read.parquet(seen_out).collect()) == ["P", "Q"]
+
+
+def test_csv_exclusions_by_suffix_and_any_columns(spark, tmp_dir):
+    _w(f"{tmp_dir}/a_processed.csv", "place,combined_description\nA,text a\n")
+    _w(f"{tmp_dir}/a_enriched.csv", "place,combined_description\nskip,x\n")
+    _w(f"{tmp_dir}/my trips/b.csv", "place,combined_description,n\nB,text b,1\n")
+    df = read_csv_dir(spark, f"file://{tmp_dir}", exclude_suffixes=("_enriched.csv",))
+    got = sorted((r.place, r.combined_description, r.n, r._folder) for r in df.collect())
+    assert [x[:3] for x in got] == [("A", "text a", None), ("B", "text b", "1")] and got[1][3] == "my trips"
+    only = read_csv_dir(spark, f"file://{tmp_dir}", glob="*_processed.csv")
+    assert [r.place for r in only.collect()] == ["A"]
+
+
+def test_one_review_is_admitted_logged_and_streamed_back(spark):
+    catalog = spark.createDataFrame([("Wat Arun", "TH", "Bangkok", "Temple", "https://m")], "place string, country string, region string, place_type string, google_maps_url string")
+    record = {"place": "Wat Arun", "description": " lovely ", "romance": 7.0}
+    one = review_record(spark, record)
+    assert one.count() == 1 and one.columns == NEW_DATA.names and one.first().description == " lovely "
+    log = shared_path(spark, "log")
+    for text, new in (("lovely", False), (" ", False), ("unknown place", True)):
+        r = review_record(spark, {**record, "description": text}).select("place", "country", "description").withColumn("is_new_place", F.lit(new))
+        if new:
+            r = r.withColumn("place", F.lit("Nowhere"))
+        append_reviews(admit_reviews(r, catalog).where("admitted = 1").withColumn("review_date", F.lit("2024-05-01 10:30")), log)
+    back = spark.read.parquet(log)
+    assert [(r.place, r.country, r.description) for r in back.collect()] == [("Wat Arun", "TH", "lovely")]
+    out = shared_path(spark, "log-out")
+    q = review_stream(spark, log, back.schema).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "c"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    assert str(spark.read.parquet(out).first().review_date) == "2024-05-01 10:30:00"

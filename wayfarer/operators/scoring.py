@@ -171,13 +171,10 @@ def rebuild_scores(
     skipped (kept as they are, C17 at row level); the others are re-scored:
     stripped text shorter than ``min_chars`` -> the group's mean of the existing
     scores (5.0 when the column is absent); longer -> the scorer."""
-    had = [c for c in CATEGORIES if c in df.columns]
+    means = category_means(df, keys, prefix="_mean_")
     df = df.withColumns({c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double") for c in CATEGORIES})
     keep = df.where(has_complete_ratings(df)) if not force else df.limit(0)
     todo = df if force else df.where(~has_complete_ratings(df))
-    means = df.groupBy(*keys).agg(
-        *[(F.avg(c) if c in had else F.lit(5.0)).alias(f"_mean_{c}") for c in CATEGORIES]
-    )
     short = strip(F.coalesce(F.col(text_col), F.lit("nan")))
     is_short = F.length(short) < min_chars
     s = todo.where(is_short).join(means, keys, "left")
@@ -188,11 +185,6 @@ def rebuild_scores(
     return keep.unionByName(s).unionByName(long_)
 
 
-def group_means(df: DataFrame, keys: list[str] = ["country"]) -> DataFrame:
-    """E10 exposed: per-group category means with the 5.0 default."""
-    return category_means(df, keys)
-
-
 # --- J3: struct-valued scorer on a 1-5 scale (nine categories, no food) ---
 STRUCT_CATEGORIES = [c for c in CATEGORIES if c != "food"]
 PLACE_STATS = T.StructType(

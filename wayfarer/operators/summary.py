@@ -82,14 +82,10 @@ def first_nonempty_metadata(df: DataFrame, order_cols: list[str], keys: list[str
     return agg.select(*keys, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in meta])
 
 
-def category_means(df: DataFrame, keys: list[str] = ["country"], default: float = 5.0) -> DataFrame:
-    """Per-group mean of every category, ``default`` when absent or all NULL."""
-    cats = [c for c in CATEGORIES if c in df.columns]
-    agg = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cats], F.count(F.lit(1)).alias("_n"))
-    return agg.select(
-        *keys,
-        *[
-            (F.coalesce(F.col(f"_m_{c}"), F.lit(default)) if c in cats else F.lit(default)).alias(c)
-            for c in CATEGORIES
-        ],
+def category_means(df: DataFrame, keys: list[str] = ["country"], default: float = 5.0, prefix: str = "") -> DataFrame:
+    """Per-group mean of every category, NULLs ignored; ``default`` where
+    the table has no such column.  A column that is all NULL has no mean, as in
+    the source, which only replaces missing columns."""
+    return df.groupBy(*keys).agg(
+        *[(F.avg(F.col(c).cast("double")) if c in df.columns else F.lit(default)).alias(f"{prefix}{c}") for c in CATEGORIES]
     )

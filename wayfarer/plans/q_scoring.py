@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfarer.operators.scoring import KEYWORDS, default_scores, overlay_scores, rebuild_scores, score_struct
-from wayfarer.operators.summarise import NO_DESCRIPTION, description_gate
+from wayfarer.operators.summarise import NO_DESCRIPTION, description_gate, summarise
+from wayfarer.operators.summary import category_means
 from wayfarer.plans.docs import NOISY_SQL, noisy_value
+from wayfarer.plans.places import place_rows
 from wayfarer.plans.registry import query
-from wayfarer.plans.sqlparts import strip
+from wayfarer.plans.sqlparts import strip, with_p
 from wayfarer.schemas import CATEGORIES
 from wayfarer.session import table
 
@@ -114,16 +116,19 @@ def _gate_input(spark, sf_dir):
 _WC = "(CASE WHEN {x} = '' THEN 0 ELSE len(string_split_regex({x}, '\\s+')) END)"
 
 
-@query(
-    "description_gate",
-    sql=f"""WITH d AS (SELECT doc_id, lang AS country, source || '/' || CAST(doc_id % 60 AS VARCHAR) AS place,
+_GATE_SQL = f"""WITH d AS (SELECT doc_id, lang AS country, source || '/' || CAST(doc_id % 60 AS VARCHAR) AS place,
                   {NOISY_SQL} AS description FROM documents),
 v AS (SELECT country, place, {strip('description')} AS v, min(doc_id) AS s FROM d
       WHERE description IS NOT NULL GROUP BY 1, 2, 3),
 t AS (SELECT country, place, list(v ORDER BY s) AS l
       FROM (SELECT *, row_number() OVER (PARTITION BY country, place ORDER BY s) AS rn FROM v) WHERE rn <= 3
       GROUP BY 1, 2),
-g AS (SELECT country, place, list_filter(l, lambda x: x <> '') AS va FROM t)
+g AS (SELECT country, place, list_filter(l, lambda x: x <> '') AS va FROM t)"""
+
+
+@query(
+    "description_gate",
+    sql=f"""{_GATE_SQL}
 SELECT country, place, len(va) AS n_valid,
   CASE WHEN len(va) = 0 THEN 'none' WHEN len(va) = 1 AND {_WC.format(x='va[1]')} < 15 THEN 'verbatim' ELSE 'summarise' END AS gate,
   md5(CASE WHEN len(va) = 0 THEN '{NO_DESCRIPTION}' WHEN len(va) = 1 AND {_WC.format(x='va[1]')} < 15 THEN va[1]
@@ -133,3 +138,36 @@ FROM g""",
 def q_description_gate(spark, sf_dir):
     g = description_gate(_gate_input(spark, sf_dir), ["country", "place"], "description", ["doc_id"])
     return g.select("country", "place", F.col("n_valid").cast("bigint").alias("n_valid"), "gate", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "category_means",
+    sql=with_p()
+    + f"""
+SELECT country, 5.0::DOUBLE AS service, NULL::DOUBLE AS relaxation,
+       {', '.join(f'round(avg({c}), 6) AS {c}' for c in CATEGORIES if c not in ('service', 'relaxation'))}
+FROM p GROUP BY country""",
+)
+def q_category_means(spark, sf_dir):
+    """A missing column counts as 5, one that is all NULL has no mean."""
+    p = place_rows(spark, sf_dir).drop("service").withColumn("relaxation", F.lit(None).cast("int"))
+    m = category_means(p)
+    return m.select("country", *[F.round(c, 6).alias(c) for c in CATEGORIES])
+
+
+_LEAD = f"""array_to_string(list_transform(list_filter(list_transform(
+  string_split(array_to_string(va, chr(10) || '- '), chr(10) || '- '), lambda x: {strip('x')}), lambda x: x <> ''),
+  lambda x: rtrim(string_split(x, '. ')[1], '.') || '.'), ' ')"""
+
+
+@query(
+    "summary_texts",
+    sql=f"""{_GATE_SQL}
+SELECT country, place, gate, md5(CASE gate WHEN 'none' THEN '{NO_DESCRIPTION}' WHEN 'verbatim' THEN va[1] ELSE {_LEAD} END) AS text_md5
+FROM (SELECT *, CASE WHEN len(va) = 0 THEN 'none' WHEN len(va) = 1 AND {_WC.format(x='va[1]')} < 15 THEN 'verbatim'
+                     ELSE 'summarise' END AS gate FROM g)""",
+)
+def q_summary_texts(spark, sf_dir):
+    """One summary per place: the gate's own texts, or the summariser's."""
+    g = description_gate(_gate_input(spark, sf_dir), ["country", "place"], "description", ["doc_id"])
+    return summarise(g).select("country", "place", "gate", F.md5("text").alias("text_md5"))
