@@ -81,13 +81,3 @@ def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 def ratio_from_lcs(lcs, la, lb) -> Column:
     """Integer ratio as the source reports it (half-even rounding)."""
     return F.when((la + lb) == 0, F.lit(0)).otherwise(F.bround(F.lit(200.0) * lcs / (la + lb), 0).cast("int"))
-
-
-def name_match(lcs, la, lb) -> Column:
-    """round(ratio) > 90  <=>  400*LCS > 181*(la+lb)."""
-    return (la + lb > 0) & (F.lit(400) * lcs > F.lit(181) * (la + lb))
-
-
-def desc_match(lcs, la, lb) -> Column:
-    """round(ratio) > 85  <=>  400*LCS >= 171*(la+lb)."""
-    return (la + lb > 0) & (F.lit(400) * lcs >= F.lit(171) * (la + lb))

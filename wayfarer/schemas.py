@@ -68,39 +68,8 @@ HTML_DROP_TAGS = ["script", "style", "nav", "footer", "header", "aside", "form"]
 THRESHOLD_CATEGORIES = ["nature", "adventure", "culture", "food", "romance", "family", "cost", "relaxation"]
 # --- end of fixed values ---
 
-TEXT_META = ["region", "place_type", "google_maps_url", "blog_source"]
-
-RAW_PLACES = T.StructType(
-    [
-        T.StructField("place", T.StringType()),
-        T.StructField("country", T.StringType()),
-        T.StructField("region", T.StringType()),
-        T.StructField("place_type", T.StringType()),
-        T.StructField("google_maps_url", T.StringType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("source_url", T.StringType()),
-        T.StructField("blog_source", T.StringType()),
-    ]
-)
-
-CLEANED_PLACES = T.StructType(
-    [
-        T.StructField(c, T.StringType())
-        for c in ["place", "country", "region", "description", "place_type", "google_maps_url", "blog_source"]
-    ]
-)
-
 SCORES = T.StructType([T.StructField(c, T.DoubleType()) for c in CATEGORIES])
 
-CATALOG = T.StructType(
-    [
-        T.StructField(c, T.StringType())
-        for c in ["place", "country", "google_maps_url", "description", "region", "place_type", "blog_source"]
-    ]
-    + list(SCORES.fields)
-    + [T.StructField("description_count", T.LongType()), T.StructField("last_updated", T.DateType())]
-)
-
 NEW_DATA = T.StructType(
     [
         T.StructField(c, T.StringType())
