@@ -145,14 +145,14 @@ def q_description_gate(spark, sf_dir):
     sql=with_p()
     + f"""
 SELECT country, 5.0::DOUBLE AS service, NULL::DOUBLE AS relaxation,
-       {', '.join(f'round(avg({c}), 6) AS {c}' for c in CATEGORIES if c not in ('service', 'relaxation'))}
+       {', '.join(f'avg({c}) AS {c}' for c in CATEGORIES if c not in ('service', 'relaxation'))}
 FROM p GROUP BY country""",
 )
 def q_category_means(spark, sf_dir):
     """A missing column counts as 5, one that is all NULL has no mean."""
     p = place_rows(spark, sf_dir).drop("service").withColumn("relaxation", F.lit(None).cast("int"))
     m = category_means(p)
-    return m.select("country", *[F.round(c, 6).alias(c) for c in CATEGORIES])
+    return m.select("country", *CATEGORIES)
 
 
 _LEAD = f"""array_to_string(list_transform(list_filter(list_transform(
