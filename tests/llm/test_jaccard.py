@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from helpers import edge_rows, frame, prose
 from pyspark.sql import functions as F
@@ -80,6 +81,35 @@ def test_tiles_larger_than_a_block(spark, monkeypatch):
     assert answer(jaccard_components(frame(spark, rows), shingle=3, percent=70)) == brute(rows, 3, 70)
 
 
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 600, rng.integers(0, 400)).astype(np.uint64)) for _ in range(2))
+        signs = jaccard.parity(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        differ = int(np.bitwise_count((signs[0] ^ signs[1]).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and differ % 2 == len(np.setxor1d(a, b)) % 2
+
+
+def test_parity_rules_out_no_link(spark):
+    """The condition on rows against the exact sets, at and around the threshold."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(400):
+        a = rng.choice(5000, rng.integers(1, 300), replace=False).astype(np.uint64)
+        b = np.concatenate([rng.choice(a, int(len(a) * rng.uniform(0.8, 1)), replace=False), rng.integers(9000, 9999, rng.integers(0, 40)).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        if not len(b):
+            continue
+        signs = jaccard.parity(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).tolist()
+        shared = len(np.intersect1d(a, b))
+        rows.append(((len(a), *signs[0]), (len(b), *signs[1]), 100 * shared >= 90 * (len(a) + len(b) - shared)))
+    side = "struct<size: int, q0: long, q1: long, q2: long, q3: long>"
+    df = spark.createDataFrame(rows, f"x {side}, y {side}, links boolean").withColumn("may", jaccard.parity_allows("x", "y", 90))
+    got = df.groupBy("links", "may").count().collect()
+    found = {(r["links"], r["may"]): r["count"] for r in got}
+    assert (True, False) not in found and found[True, True] > 20 and found[False, False] > 50
+
+
 def test_empty_table(spark):
     assert jaccard_components(frame(spark, [])).collect() == []
 

@@ -13,9 +13,11 @@ link when 100 * |A n B| >= percent * |A u B|.
    tile and the next one's, since linked sizes differ by the factor t at most.
 3. *First pass.*  Each member of a tile meets the tile's smallest member only,
    its most frequent one first, and others only if no link has joined them yet.
-   Bitmap signatures of sets bound the overlap from above by bit counts; pairs
-   that may link go to the exact intersection of sorted arrays.  Links are
-   joined into components.
+   Hashed signatures of sets bound the overlap from above by bit counts: first
+   256 parity bits (each member flips one, so the bits in which two sets differ
+   are at most the members that only one has), then 4,096 such bits.
+   Pairs that may link go to the exact intersection of sorted arrays.  Links
+   are joined into components.
 4. *Rest.*  Tiles whose members still lie in several components are cut into
    blocks of at most ``BLOCK`` members; each pair of blocks compares all
    bitmaps of different components at once, and survivors are intersected
@@ -37,7 +39,8 @@ from wayfarer.llm.common import among, bounded_batches, components, fresh, maybe
 
 SKETCH_BITS = 18  # 2**18 counters of 8 bytes: 2 MB, whatever the input
 PAGES = 64
-BITMAP_WORDS = 32  # 2048-bit signatures
+BITMAP_WORDS = 64  # 4096-bit signatures
+PARITY = ["q0", "q1", "q2", "q3"]  # 64 bits each
 BLOCK = 512
 
 
@@ -88,7 +91,9 @@ def _digest_pair(g: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def survey(docs: DataFrame, n: int) -> DataFrame:
     """One pass over all texts: a row (id, size, d1, d2) for each document, and
     for each task its shingle counters in packed pages (page, counts)."""
-    schema = "id long, size long, d1 long, d2 long, page int, counts binary"
+    words = ", ".join(f"{q} long" for q in PARITY)
+    schema = f"id long, size long, d1 long, d2 long, {words}, page int, counts binary"
+    names = ["id", "size", "d1", "d2", *PARITY, "page", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -97,6 +102,7 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
                 g, so = shingle_sets(raw, offs, n)
                 counters += np.bincount(slot(g), minlength=len(counters))
                 d1, d2 = _digest_pair(g, so)
+                signs = parity(g, so)
                 k = len(d1)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -104,17 +110,17 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
                         pa.array(np.diff(so)),
                         pa.array(d1),
                         pa.array(d2),
+                        *[pa.array(signs[:, i]) for i in range(len(PARITY))],
                         pa.nulls(k, pa.int32()),
                         pa.nulls(k, pa.binary()),
                     ],
-                    ["id", "size", "d1", "d2", "page", "counts"],
+                    names,
                 )
         if counters.any():
             none = pa.nulls(PAGES, pa.int64())
             pages = pa.array([p.tobytes() for p in counters.reshape(PAGES, -1)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(np.arange(PAGES, dtype=np.int32)), pages],
-                ["id", "size", "d1", "d2", "page", "counts"],
+                [*[none] * (4 + len(PARITY)), pa.array(np.arange(PAGES, dtype=np.int32)), pages], names
             )
 
     return docs.mapInArrow(run, schema)
@@ -154,6 +160,28 @@ def band(size: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / np.log(100 / percent) + 1e-9).astype(np.int32)
 
 
+def parity(g: np.ndarray, so: np.ndarray) -> np.ndarray:
+    """Parity signatures (sets x 4 words): each member flips one bit."""
+    out = np.zeros((len(so) - 1, len(PARITY)), np.uint64)
+    at = mix(g ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(64 * len(PARITY))
+    bit = np.uint64(1) << (at % np.uint64(64))
+    held = np.flatnonzero(np.diff(so))
+    for k in range(len(PARITY)):
+        if len(held):
+            out[held, k] = np.bitwise_xor.reduceat(np.where(at // np.uint64(64) == k, bit, np.uint64(0)), so[held])
+    return out.view(np.int64)
+
+
+def parity_allows(a: str, b: str, percent: int):
+    """Whether two rows with sizes and parity signatures may link: members of
+    one set only are at least the differing bits, and of two sizes the smaller
+    bounds the overlap.  A necessary condition, so no link is lost."""
+    differ = " + ".join(f"bit_count({a}.{q} ^ {b}.{q})" for q in PARITY)
+    sizes = f"({a}.size + {b}.size)"
+    most = f"least({a}.size, {b}.size, ({sizes} - ({differ})) div 2)"
+    return F.expr(f"100 * {most} >= {percent} * ({sizes} - {most})")
+
+
 def tile_rows(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
     """(key, band, id, size): the prefix shingles of every document."""
 
@@ -191,8 +219,10 @@ def set_columns(docs: DataFrame, n: int, arrays: bool) -> DataFrame:
                 g, so = shingle_sets(raw, offs, n)
                 k = len(so) - 1
                 row = np.repeat(np.arange(k), np.diff(so))
-                bits = np.zeros((k, 64 * BITMAP_WORDS), bool)
-                bits[row, (mix(g) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)] = True
+                # each member flips a bit, so the signature of a long text is not full
+                width = 64 * BITMAP_WORDS
+                place = row * width + (mix(g) % np.uint64(width)).astype(np.int64)
+                bits = (np.bincount(place, minlength=k * width) & 1).astype(bool).reshape(k, width)
                 packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
                 members = [g[a:b].tobytes() if arrays else None for a, b in zip(so[:-1], so[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -214,8 +244,8 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def may_link(bits_a: np.ndarray, bits_b: np.ndarray, size_a, size_b, percent: int) -> np.ndarray:
-    """Bit counts bound the overlap from above: each differing bit is a member
-    of one set only."""
+    """Bit counts bound the overlap from above: each differing bit was flipped by
+    a member of one set only."""
     differ = np.bitwise_count(bits_a ^ bits_b).sum(axis=-1, dtype=np.int64)
     most = np.minimum((size_a + size_b - differ) // 2, np.minimum(size_a, size_b))
     return linked(most, size_a, size_b, percent)
@@ -318,6 +348,7 @@ def jaccard_components(
     named = src.where("id is not null")
     surveyed = staged(survey(src, shingle), "jaccard-survey")
     sets = surveyed.where("page is null").select("id", "size", "d1", "d2")
+    signs = surveyed.where("page is null and id is not null and size > 0").select("id", "size", *PARITY)
     counts = spark.sparkContext.broadcast(shingle_counts(surveyed))
     reps = staged(
         sets.where("size > 0 and id is not null")
@@ -353,11 +384,11 @@ def jaccard_components(
     # the hub that a member meets in most tiles is its likeliest partner; hubs
     # of the same component need no second comparison
     likely = star.groupBy("b").agg(F.max_by("a", F.struct("tiles", -F.col("a"))).alias("a")).select("a", "b")
-    links = _verified(likely, named, shingle, percent, "likely")
+    links = _verified(likely, named, signs, shingle, percent, "likely")
     comp = staged(components(links), "jaccard-likely-components")
     left, right = (comp.select(F.col("node").alias(x), F.col("root").alias(f"c{x}")) for x in ("a", "b"))
     apart = star.join(left, "a", "left").join(right, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    other = _verified(apart.join(likely, ["a", "b"], "left_anti"), named, shingle, percent, "star")
+    other = _verified(apart.join(likely, ["a", "b"], "left_anti"), named, signs, shingle, percent, "star")
     comp = staged(components(links.unionByName(other)), "jaccard-star-components")
 
     # tiles that still hold several components
@@ -371,17 +402,18 @@ def jaccard_components(
         .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     rest = staged(held.join(split, "key"), "jaccard-rest")
-    small = rest.where("blocks = 1")
+    small = rest.where("blocks = 1").drop("size").join(signs, "id")
     x, y = small.alias("x"), small.alias("y")
     near = F.col("x.size") * 100 >= F.col("y.size") * percent
     order = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
     pairs = (
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & order & near)
+        .where(parity_allows("x", "y", percent))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    more = _verified(pairs, named, shingle, percent, "rest").unionByName(
+    more = _verified(pairs, named, signs, shingle, percent, "rest").unionByName(
         _large_tiles(rest.where("blocks > 1"), named, shingle, percent)
     )
     more = staged(more, "jaccard-more-links")
@@ -401,10 +433,12 @@ def jaccard_components(
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
-    """Links among candidate pairs: bitmaps first, then exact intersections.
-    Only texts of documents in a surviving pair are shingled again."""
-    pairs = staged(pairs, f"jaccard-{name}-pairs")
+def _verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame, shingle: int, percent: int, name: str) -> DataFrame:
+    """Links among candidate pairs: parity words first, then bitmaps, then exact
+    intersections.  Only texts of documents in a surviving pair are shingled again."""
+    side = lambda x, to: signs.select(F.col("id").alias(x), F.struct("size", *PARITY).alias(to))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    pairs = staged(both.where(parity_allows("x", "y", percent)).select("a", "b").distinct(), f"jaccard-{name}-pairs")
     ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bits = set_columns(among(docs, ids(pairs), ["id"]), shingle, False)
     alive = staged(bound_pairs(pairs, bits, percent), f"jaccard-{name}-bound")
