@@ -160,16 +160,19 @@ def band(size: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / np.log(100 / percent) + 1e-9).astype(np.int32)
 
 
-def parity(g: np.ndarray, so: np.ndarray) -> np.ndarray:
-    """Parity signatures (sets x 4 words): each member flips one bit."""
-    out = np.zeros((len(so) - 1, len(PARITY)), np.uint64)
-    at = mix(g ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(64 * len(PARITY))
-    bit = np.uint64(1) << (at % np.uint64(64))
-    held = np.flatnonzero(np.diff(so))
-    for k in range(len(PARITY)):
-        if len(held):
-            out[held, k] = np.bitwise_xor.reduceat(np.where(at // np.uint64(64) == k, bit, np.uint64(0)), so[held])
-    return out.view(np.int64)
+def parity(g: np.ndarray, so: np.ndarray, words: int = len(PARITY), seed: int = 0x3C6EF372FE94F82B) -> np.ndarray:
+    """Parity signatures (sets x 64-bit words): each member flips one bit, so
+    that of a large set is not full.  Memory follows the members."""
+    k = len(so) - 1
+    out = np.zeros(k * words, np.uint64)
+    if len(g):
+        at = mix(g ^ np.uint64(seed)) % np.uint64(64 * words)
+        word = np.repeat(np.arange(k), np.diff(so)) * words + (at // np.uint64(64)).astype(np.int64)
+        order = np.argsort(word, kind="stable")
+        word, bit = word[order], (np.uint64(1) << (at % np.uint64(64)))[order]
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.bitwise_xor.reduceat(bit, first)
+    return out.view(np.int64).reshape(k, words)
 
 
 def parity_allows(a: str, b: str, percent: int):
@@ -217,16 +220,10 @@ def set_columns(docs: DataFrame, n: int, arrays: bool) -> DataFrame:
         for batch in batches:
             for at, raw, offs in text_slices(batch.column(1)):
                 g, so = shingle_sets(raw, offs, n)
-                k = len(so) - 1
-                row = np.repeat(np.arange(k), np.diff(so))
-                # each member flips a bit, so the signature of a long text is not full
-                width = 64 * BITMAP_WORDS
-                place = row * width + (mix(g) % np.uint64(width)).astype(np.int64)
-                bits = (np.bincount(place, minlength=k * width) & 1).astype(bool).reshape(k, width)
-                packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
+                packed = [x.tobytes() for x in parity(g, so, BITMAP_WORDS, 0)]
                 members = [g[a:b].tobytes() if arrays else None for a, b in zip(so[:-1], so[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, k), pa.array(np.diff(so).astype(np.int32)), pa.array(packed, pa.binary()), pa.array(members, pa.binary())],
+                    [batch.column(0).slice(at, len(packed)), pa.array(np.diff(so).astype(np.int32)), pa.array(packed, pa.binary()), pa.array(members, pa.binary())],
                     ["id", "size", "bits", "members"],
                 )
 
