@@ -1,7 +1,7 @@
 """Text scoring with pluggable batch scorers.
 
 A *scorer* maps a pandas Series of texts to a DataFrame of raw outputs (one
-column per category).  It runs inside ``mapInPandas`` on Arrow batches and is
+column per category).  It runs on slices of Arrow batches (``with_python_columns``) and is
 built once per Python worker from a picklable factory; only the rows that
 need a model reach Python - complete rows and short rows are routed around it
 with filters and ``unionByName``.  Post-processing (x10, clamp to [0, 10],
@@ -10,7 +10,7 @@ half-even rounding) stays JVM-side.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from wayfarer.functions.text import strip
 from wayfarer.operators.quality import has_complete_ratings
 from wayfarer.operators.summary import category_means
 from wayfarer.schemas import CATEGORIES
-from wayfarer.session import spread_for_python
+from wayfarer.session import with_python_columns
 
 _WORKER_CACHE: dict = {}
 
@@ -88,35 +88,32 @@ def raw_scores(
     the error text (C32: ``on_error`` = 'null' keeps it, 'drop' removes it,
     'zero' writes 0)."""
     base = df.drop(*[c for c in categories if c in df.columns])
-    schema = T.StructType(
-        base.schema.fields + [T.StructField(c, T.DoubleType()) for c in categories] + [T.StructField("score_error", T.StringType())]
-    )
+    fields = [*[T.StructField(c, T.DoubleType()) for c in categories], T.StructField("score_error", T.StringType())]
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
         scorer = _scorer(factory)
-        for pdf in it:
-            texts = pdf[text_col].astype(object)
-            try:
-                pred = scorer(texts)
-                err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            except Exception:  # noqa: BLE001 - per-row retry isolates bad rows
-                rows, errs = [], []
-                for t in texts:
-                    try:
-                        rows.append(scorer(pd.Series([t])).iloc[0].to_dict())
-                        errs.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        rows.append({c: np.nan for c in categories})
-                        errs.append(f"{type(e).__name__}: {e}")
-                pred = pd.DataFrame(rows, index=pdf.index)
-                err = pd.Series(errs, index=pdf.index, dtype=object)
-            out = pdf.copy()
-            for c in categories:
-                out[c] = pred[c].astype("float64").to_numpy() if c in pred else np.nan
-            out["score_error"] = err.to_numpy()
-            yield out
-
-    res = spread_for_python(base).mapInPandas(run, schema)
+        texts = pdf[text_col].astype(object)
+        try:
+            pred = scorer(texts)
+            err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+        except Exception:  # noqa: BLE001 - per-row retry isolates bad rows
+            rows, errs = [], []
+            for t in texts:
+                try:
+                    rows.append(scorer(pd.Series([t])).iloc[0].to_dict())
+                    errs.append(None)
+                except Exception as e:  # noqa: BLE001
+                    rows.append({c: np.nan for c in categories})
+                    errs.append(f"{type(e).__name__}: {e}")
+            pred = pd.DataFrame(rows, index=pdf.index)
+            err = pd.Series(errs, index=pdf.index, dtype=object)
+        out = pd.DataFrame(index=pdf.index)
+        for c in categories:
+            out[c] = pred[c].astype("float64").to_numpy() if c in pred else np.nan
+        out["score_error"] = err.to_numpy()
+        return out
+
+    res = with_python_columns(base, [text_col], score, fields)
     if on_error == "drop":
         res = res.where(F.col("score_error").isNull())
     elif on_error == "zero":
@@ -224,19 +221,13 @@ def score_struct(df: DataFrame, factory: Callable = stats_scorer, text_col: str
     failing batch is scored row by row; a failing row gets NULLs."""
     names = [f.name for f in PLACE_STATS.fields]
     base = df.drop(*[c for c in names if c in df.columns])
-    schema = T.StructType(base.schema.fields + list(PLACE_STATS.fields))
 
-    def run(it):
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
         scorer = _scorer(factory)
-        for pdf in it:
-            texts = pdf[text_col].astype(object)
-            try:
-                pred = scorer(texts)
-            except Exception:  # noqa: BLE001 - per-row retry isolates bad rows
-                pred = pd.concat([_score_one(scorer, t, names) for t in texts], ignore_index=True)
-            out = pdf.copy()
-            for c in names:
-                out[c] = pred[c].to_numpy()
-            yield out
-
-    return spread_for_python(base).mapInPandas(run, schema)
+        texts = pdf[text_col].astype(object)
+        try:
+            return scorer(texts)
+        except Exception:  # noqa: BLE001 - per-row retry isolates bad rows
+            return pd.concat([_score_one(scorer, t, names) for t in texts], ignore_index=True)
+
+    return with_python_columns(base, [text_col], score, list(PLACE_STATS.fields))
