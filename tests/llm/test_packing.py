@@ -1,5 +1,6 @@
 """Operator 3: ids of the library, gapless sequences, fewer bins."""
 
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from helpers import edge_rows, frame, prose
 from tokenizers import Tokenizer
 
-from wayfarer.llm.packing import best_fit, local_search, pack_documents
+from wayfarer.llm.packing import WordIds, best_fit, local_search, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -68,3 +69,25 @@ def test_an_exchange_empties_a_bin():
     bins = local_search(sizes, start, 10)
     assert (np.bincount(bins, weights=sizes) ** 2).sum() >= (np.bincount(start, weights=sizes) ** 2).sum()
     assert np.bincount(bins, weights=sizes).max() <= 10
+
+
+def test_parts_with_marks_are_encoded_in_one_call():
+    """Parts that are no plain words go to the tokenizer together, and each
+    gets the ids that it has alone."""
+    ids_of = WordIds(PATH)
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("aé.İßﬃ́Ññ,!1中😀<>st/\x00﻿ẞ'’") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    text = " ".join(parts)
+    alone = b"".join(np.array(ids_of.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in parts)
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(tokenizer, name)
+
+    tokenizer, ids_of.tokenizer = ids_of.tokenizer, Counted()
+    assert ids_of(text) == alone
+    assert len(calls) <= 4
+    assert ids_of(text) == alone and len(calls) <= 4  # known parts need no call
+    assert len(ids_of._encode_others([p.encode() for p in parts])) == len(parts)

@@ -71,39 +71,54 @@ class WordIds:
         data = ids.tobytes()
         return [data[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts, strict=False)]
 
+    def _encode_others(self, parts: list[bytes]) -> list[bytes]:
+        """The same for any parts, in one text: a token's place in it tells the
+        part it comes from."""
+        texts = [p.decode() for p in parts]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        places = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        cuts = np.searchsorted(places, ends).tolist()
+        data = np.array(found.ids, "<u4").tobytes()
+        return [data[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts, strict=False)]
+
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
         data = text.encode()
         if text.isascii():  # the tokenizer lowers it anyway
             data = data.lower()
         parts = data.split()  # ASCII white space only: safe cuts for any text
-        missing = set(parts).difference(self.cache)
-        if missing:
+        found = list(map(self.cache.get, parts))  # one look-up a part
+        if None in found:
             if len(self.cache) > CACHED_WORDS:
                 self.cache, self.old = {}, self.cache
-                missing = set(parts)
-            self._learn(missing)
-        return b"".join(map(self.cache.__getitem__, parts))
+                found = [None] * len(parts)
+            self._learn({p for p, ids in zip(parts, found, strict=True) if ids is None})
+            found = map(self.cache.__getitem__, parts)
+        return b"".join(found)
 
     def _learn(self, missing: set[bytes]) -> None:
         cache, old = self.cache, self.old
-        ends, new = [], []
+        ends, words, others = [], [], []
+        stems = set()  # new parts, each listed once
         for p in missing:
             if p in old:
                 cache[p] = old[p]
-            elif p[-1:] in self.marks and p[-2:-1].isalnum():
+                continue
+            if p[-1:] in self.marks and p[-2:-1].isalnum():
                 # one mark after an ASCII letter or digit is a piece of its own
                 ends.append(p)
-                if p[:-1] not in cache:
-                    new.append(p[:-1])
-            else:
-                new.append(p)
-        known = [p for p in new if p in old]
-        cache.update((p, old[p]) for p in known)
-        new = [p for p in dict.fromkeys(new) if p not in cache]
-        words = [p for p in new if p.decode().isalpha()]
-        others = [p for p in new if not p.decode().isalpha()]
-        for some, encode in ((words, self._encode_words), (others, self._encode)):
+                p = p[:-1]
+                if p in cache or p in missing:
+                    continue
+                if p in old:
+                    cache[p] = old[p]
+                    continue
+                if p in stems:
+                    continue
+                stems.add(p)
+            (words if p.decode().isalpha() else others).append(p)
+        for some, encode in ((words, self._encode_words), (others, self._encode_others)):
             for at in range(0, len(some), 1000):
                 few = some[at : at + 1000]
                 cache.update(zip(few, encode(few), strict=True))
