@@ -133,3 +133,21 @@ def test_copies_of_a_toxic_text_hide_no_term(spark):
     assert {"zorkhead", "grubbish"} <= set(model.lexicon.words)
     got = {r["doc_id"]: r["score"] for r in score(frame(spark, [(1, "lar zorkhead mon"), (2, "lar mon tiro")]), model).collect()}
     assert got[1] > 0.7 > got[2]
+
+
+def test_words_are_judged_once(spark, monkeypatch):
+    """The look-ups of entries read one row a word, not one a task and text."""
+    monkeypatch.setattr(toxicity, "CACHED_TOKENS", 0)  # each text makes rows of its own
+    seen = {}
+    keep = toxicity.staged
+
+    def staged(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(toxicity, "staged", staged)
+    docs = spark.createDataFrame([(f"you{i} vilecreature {i}" if i % 2 else f"plain words {i}", i % 2) for i in range(40)], "text string, toxic int")
+    lexicon = toxicity.learn_lexicon(docs)
+    words = seen["toxic-word-texts"]
+    assert words.count() == words.select("word").distinct().count() < seen["toxic-words"].where("kind = 'w'").count()
+    assert lexicon.words

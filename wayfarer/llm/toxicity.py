@@ -62,7 +62,10 @@ _EDGE = re.compile(r"^[^\w*@$]+|[^\w*@$]+$")
 
 def normal(token: str) -> str:
     """A token in lower case without punctuation around it."""
-    return _EDGE.sub("", token.lower())
+    word = token.lower()
+    if word[:1].isalnum() and word[-1:].isalnum():  # the common case
+        return word
+    return _EDGE.sub("", word)
 
 
 @dataclass
@@ -91,7 +94,11 @@ class Lexicon:
                 h = len(word) // 2
                 self.halves.add((0, word[:h]))
                 self.halves.add((1, word[h:]))
-        self.sizes = [sorted({len(x) for w, x in self.halves if w == k}) for k in (0, 1)]
+        # of each length that occurs: the first halves, the second halves
+        self.firsts, self.lasts = (
+            [(n, {x for w, x in self.halves if w == k and len(x) == n}) for n in sorted({len(x) for w, x in self.halves if w == k})]
+            for k in (0, 1)
+        )
         return self
 
     @property
@@ -109,15 +116,23 @@ class Lexicon:
                 return None
         return node.get("")
 
+    def _near(self, token: str) -> bool:
+        """Whether the token holds a whole half of an entry at its place."""
+        for n, halves in self.firsts:
+            if token[:n] in halves:
+                return True
+        for n, halves in self.lasts:
+            if token[-n:] in halves:
+                return True
+        return False
+
     def misspelled(self, token: str) -> str | None:
         """An entry within one edit of the whole token: the automaton's states
         are rows of edit distances, stepped along the trie's edges; a branch
         ends where no state is within reach."""
         if len(token) < MIN_FUZZY - 1 or token in self.clean:
             return None
-        if not any((0, token[:n]) in self.halves for n in self.sizes[0]) and not any(
-            (1, token[-n:]) in self.halves for n in self.sizes[1]
-        ):
+        if not self._near(token):
             return None
         stack = [(self.whole, 0, tuple(range(len(token) + 1)))]
         while stack:
@@ -161,11 +176,12 @@ class Matcher:
     def features(self, text: str | None) -> tuple[float, float, float, float]:
         """(abuse, misspelt abuse, quoted, densest window) of a whole text."""
         tokens = (text or "").split()
-        known = self.kinds
-        kinds = [known[t] if t in known else self.kind(t) for t in tokens]
-        hits = [i for i, k in enumerate(kinds) if k == 1 or k == 2]
-        if not hits:
+        kinds = list(map(self.kinds.get, tokens))  # one look-up a token
+        if None in kinds:
+            kinds = [self.kind(t) if k is None else k for t, k in zip(tokens, kinds, strict=True)]
+        if 1 not in kinds and 2 not in kinds:
             return 0.0, 0.0, 0.0, 0.0
+        hits = [i for i, k in enumerate(kinds) if k == 1 or k == 2]
         quoted = self._quoted(tokens)
         abuse = fuzzy = quotes = 0.0
         densest = 0
@@ -292,7 +308,7 @@ def learn_lexicon(docs: DataFrame) -> Lexicon:
     passed = {r["p"] for r in good}
     shortest = [p for p in passed if not any(p[:i] in passed for i in range(MIN_STEM, len(p)))]
     stems = Lexicon(sorted(shortest)).build()
-    single = texts("w")
+    single = staged(texts("w"), "toxic-word-texts")  # one row a word; both look-ups below read it
     entry = single.where((F.col("t") >= MIN_SUPPORT) & (odds >= 100) & (F.length("word") >= MIN_FUZZY))
     entry = entry.where(F.udf(lambda w: stems.starts(w) is not None, "boolean")("word"))
     entries = [r["word"] for r in entry.orderBy(F.desc("t"), "word").limit(MAX_ENTRIES).select("word").collect()]
