@@ -291,3 +291,45 @@ def test_a_block_over_many_tiles_and_lengths(spark):
         if want[seq]:
             kept.append(d)
     assert got == want
+
+
+def test_groups_finish_in_tasks_of_their_own(spark, monkeypatch):
+    """Edges of one group are few, of all groups many: no round is needed."""
+    rng = random.Random(12)
+    groups = {g: range(100 * g, 100 * g + 30) for g in range(12)}
+    edges = [(a, b) for ids in groups.values() for a in ids for b in ids if a < b and rng.random() < 0.1]
+    assert len(edges) > 300
+    cuts, cut = [], resolve._cut
+    monkeypatch.setattr(resolve, "_cut", lambda df: cuts.append(1) or cut(df))
+    vertices = spark.createDataFrame([(i, f"g{g}") for g, ids in groups.items() for i in ids], "vid long, _g string")
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    got = {r["vid"]: r["leader"] for r in resolve.leader_rounds(vertices, frame, finish_edges=300).collect()}
+    assert len(cuts) == 3
+    want = {}
+    for ids in groups.values():
+        for b in ids:
+            want[b] = min((a for a, c in edges if c == b and want[a] == a), default=b)
+    assert got == want
+    again = {r["vid"]: r["leader"] for r in resolve.leader_rounds(vertices, frame, finish_edges=2).collect()}
+    assert again == want
+
+
+def test_no_tokens_where_subsequences_do(spark):
+    """Names whose lengths need no tokens make none, and shared subsequences
+    are matches without another LCS."""
+    rows = [(i, "g", f"name number {i:05d}") for i in range(0, 900, 7)]
+    v = spark.createDataFrame(rows, "_id long, _g string, key string")
+    plain, tokens = resolve._signed(v, resolve.NAME_SLACK, resolve.NAME_STRICT)
+    assert tokens.count() == 0 and "Generate" not in tokens._jdf.queryExecution().executedPlan().toString()
+    got = {(r["src"], r["dst"]) for r in resolve.matching_edges(v, resolve.NAME_SLACK, resolve.NAME_STRICT).collect()}
+    assert got == {(a, b) for a, _, x in rows for b, _, y in rows if a < b and 400 * _lcs(x, y) > 181 * (len(x) + len(y))}
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1]
