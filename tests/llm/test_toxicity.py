@@ -151,3 +151,10 @@ def test_words_are_judged_once(spark, monkeypatch):
     words = seen["toxic-word-texts"]
     assert words.count() == words.select("word").distinct().count() < seen["toxic-words"].where("kind = 'w'").count()
     assert lexicon.words
+
+
+def test_toxic_texts_without_words(spark):
+    """Null, empty and blank texts with a toxic label have no pair of words."""
+    docs = spark.createDataFrame([(t, n % 2) for n, t in enumerate([None, None, "", "", " ", "  ", "--", "--", "a b", "a b"])], "text string, toxic int")
+    pairs = toxicity.training_counts(docs).where("kind = 'b'").select("word", "before").collect()
+    assert sorted(map(tuple, pairs)) == [("a", ""), ("b", "a")]

@@ -248,7 +248,7 @@ def training_counts(docs: DataFrame) -> DataFrame:
                 for p in {w[:i] for w in set(words) for i in range(MIN_STEM, min(len(w), MAX_STEM) + 1)}:
                     held["p", p, "", label] += 1
                 if label == 1:
-                    for w, before in zip(words, ["", *words[:-1]], strict=True):
+                    for w, before in zip(words, ["", *words], strict=False):  # a text may have no word
                         held["b", w, before, label] = 1
                 if len(held) > CACHED_TOKENS:
                     yield rows(held)
