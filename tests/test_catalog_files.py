@@ -8,7 +8,7 @@ import pytest
 
 from wayfarer.sources import catalog
 from wayfarer.sources.catalog import finish_publish, load_catalog, publish_catalog, quality_report_files
-from wayfarer.sources.csv import read_csv_dir
+from wayfarer.sources.csv import file_headers, read_csv_dir
 from wayfarer.sources.pages import page_links, unseen
 
 SCHEMA = "place string, country string, description string, romance double"
@@ -77,6 +77,25 @@ def test_report_judges_each_file_by_its_own_header(spark, tmp_dir):
     assert [tuple(r) for r in quality_report_files(spark, f"file://{tmp_dir}/empty").collect()] == [(None, None, 0, 0, None, 0, 0, 1)]
 
 
+def test_headers_of_files_in_many_splits_without_a_sort_of_lines(spark, tmp_dir):
+    for k in range(6):
+        with open(f"{tmp_dir}/f{k}.csv", "w", encoding="utf-8") as f:
+            f.write("".join(f"{x}\n" for x in [f"z{k},a", *(f"{i:07d},b" for i in range(700 * k))]))
+    open(f"{tmp_dir}/empty.csv", "w").close()
+    sizes = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        heads = file_headers(spark, f"file://{tmp_dir}")
+        assert sorted(r["header"] for r in heads.collect()) == [f"z{k},a" for k in range(6)]
+        # lines were sorted by file to find the least one of each
+        assert "Sort" not in heads._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_cache_is_read_until_a_file_changes(spark, tmp_dir):
     root, cache = f"{tmp_dir}/pub", f"{tmp_dir}/cache"
     publish_catalog(spark.createDataFrame(rows(), SCHEMA), f"file://{root}")

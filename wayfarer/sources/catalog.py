@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.functions.text import contains_placeholder, strip
+from wayfarer.session import shared_path
 from wayfarer.sources.csv import _fs, _split_header, file_headers, read_csv_dir
 
 # The name of a country's file and the mark that opens it.
@@ -98,7 +99,9 @@ def quality_report_files(spark: SparkSession, root: str, glob: str = GLOB, requi
     one.  Status: 2 if a required column is missing (in any file, for the
     total), else 0; a folder without files gives one total with status 1.
     """
-    heads = file_headers(spark, root, glob)
+    path = shared_path(spark, "heads")
+    file_headers(spark, root, glob).write.parquet(path)  # one row per file, used twice
+    heads = spark.read.schema("file string, header string").parquet(path)
     layouts = [r["header"] for r in heads.select("header").distinct().collect()]  # one row per layout
     judged = []
     for h in layouts:

@@ -39,7 +39,11 @@ def _source_path() -> Column:
 
 def file_headers(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     """(file, header): the first line of every file below ``root``; an empty
-    file has none and is left out."""
+    file has none and is left out.
+
+    The place of the first line is a long, which hashing aggregates, and a
+    second scan of the same splits picks the line; a least line per file would
+    sort all lines of a task's splits."""
     lines = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
@@ -48,7 +52,8 @@ def file_headers(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFra
         .where(F.col("_start") == 0)
         .withColumn("_id", F.monotonically_increasing_id())
     )
-    return lines.groupBy("file").agg(F.min_by("value", "_id").alias("header"))
+    first = lines.groupBy("file").agg(F.min("_id").alias("_id"))
+    return lines.join(F.broadcast(first.select("_id")), "_id").select("file", F.col("value").alias("header"))
 
 
 def header_layouts(spark: SparkSession, root: str, glob: str = "*.csv") -> dict[tuple, list[str]]:
