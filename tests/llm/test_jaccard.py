@@ -128,3 +128,21 @@ def test_components_of_a_long_chain(spark):
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {i: 0 for i in range(61)}
     assert components(links.where("a < 0")).collect() == []
+
+
+def test_slices_bound_the_memory_of_a_batch():
+    """A slice of 1 MB of texts took some 40 MB of arrays."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from wayfarer.llm.common import text_slices
+
+    texts = pa.array([" ".join(f"w{i * j % 977}" for j in range(400)) for i in range(2000)])
+    tracemalloc.start()
+    try:
+        sizes = [len(jaccard.shingle_sets(raw, offs, 5)[1]) - 1 for _, raw, offs in text_slices(texts)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == len(texts) and peak < 20 << 20

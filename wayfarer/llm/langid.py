@@ -126,7 +126,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 mine = np.repeat(lang_of[at : at + len(offs) - 1], np.diff(offs))
                 for lang in set(lang_of[at : at + len(offs) - 1]):
                     held.setdefault(lang, []).append(np.unique(key[mine == lang], return_counts=True))
-                    if len(held[lang]) >= 8:
+                    if len(held[lang]) >= 32:
                         fold(lang)
         for lang in held:
             fold(lang)
