@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from helpers import edge_rows, frame
 
-from wayfarer.llm.piece_bpe import Normalizer, PieceModel, encode_decode_pieces
+from wayfarer.llm.piece_bpe import Normalizer, PieceModel, encode_decode_pieces, units_of
 from wayfarer.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,6 +76,23 @@ def test_long_units_merge_alike():
         assert tuple(model.id_of[p] for p in model._merged_long(unit)) == model.merged(unit)
 
 
+def test_letters_are_merged_apart_from_what_stands_beside_them():
+    model, library = PieceModel(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rng = random.Random(7)
+    mixed = "aeé²½.1_▁ \n-$中ßºª٣Ⅷñ"
+    for text in ["".join(rng.choice(mixed) for _ in range(rng.randint(0, 40))) for _ in range(2000)]:
+        assert "".join(model.units_of(text)) == text
+        same(model, library, text)
+    model.encode("word, word. word\nword word!?")
+    assert [u for u in model.units if "word" in u] == ["▁word", "word"]
+
+
+def test_units_stay_whole_where_a_piece_crosses():
+    assert units_of(["ab", "▁a", ".", "²."])("▁ab.c²ab▁▁") == ["▁ab", ".", "c", "²", "ab", "▁▁"]
+    assert units_of(["ab", "b."])("▁ab.c▁d") == ["▁ab.c", "▁d"]
+    assert units_of(["a▁b"])("▁ab.c▁d") == ["▁ab.c▁d"]
+
+
 def test_alignment_covers_the_text():
     normalizer = Normalizer(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec())
     for text in hard_texts():

@@ -3,9 +3,10 @@
 1. *Normalisation.*  At each place the longest prefix that the model's
    compiled character map knows is replaced, other characters stay.  Every
    byte of the result records the original byte that its prefix began at.
-2. *Merging.*  Units start at white space marks (no piece crosses into one;
-   the loader checks it), so equal units are merged once: best score first,
-   then leftmost.  Characters without a piece become byte pieces.
+2. *Merging.*  Units start at white space marks and where letters and other
+   characters meet (no piece crosses into one; the loader checks it), so equal
+   units are merged once: best score first, then leftmost.  Characters without
+   a piece become byte pieces.
 3. *Projection.*  Piece boundaries in the normalised text are looked up in the
    alignment, which gives each piece's span of original bytes.  Of the byte
    pieces of one character the last holds its span, the others are empty.
@@ -18,9 +19,10 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +171,19 @@ class Normalizer:
         return data[at : at + size], size
 
 
+def units_of(pieces: Iterable[str]) -> Callable[[str], list[str]]:
+    """How a normalised text is cut where no merge crosses: before white space
+    marks and between letters and other characters, as far as no piece does."""
+    if any(MARK in p.lstrip(MARK) for p in pieces):
+        return lambda text: [text] if text else []
+    beside = "".join(sorted({c for p in pieces for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()}))
+    letter, other = f"[^\\W\\d_{beside}]", f"(?:[^\\w{MARK}]|[\\d_{beside}])"
+    crosses = re.compile(f"{letter}{other}|{other}{letter}").search
+    if any(map(crosses, pieces)):
+        return re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+    return re.compile(f"{MARK}*{letter}+|{MARK}*{other}+|{MARK}+").findall
+
+
 class PieceModel:
     """A BPE model with byte fallback; other kinds raise ValueError."""
 
@@ -196,9 +211,7 @@ class PieceModel:
         self.byte_ids = [byte_ids[b] for b in range(256)]
         self.end_id = next(i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == CONTROL and p == "</s>")
         self.normalizer = Normalizer(normalizer)
-        #: a piece with a mark after another character would cross units
-        apart = not any(MARK in p.lstrip(MARK) for p in self.id_of)
-        self.units_of = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if apart else lambda text: [text] if text else []
+        self.units_of = units_of(self.id_of)
         self.units = _Generations(self.merged, CACHED_UNITS)
         order = {score: r for r, score in enumerate(sorted({self.scores[i] for i in self.id_of.values()}, reverse=True))}
         self.rank = {p: order[self.scores[i]] for p, i in self.id_of.items()}
@@ -221,14 +234,13 @@ class PieceModel:
         rank = self.rank.get
         if len(unit) <= PLAIN_CHARS:
             parts = list(unit)
-            pairs = [rank(unit[i : i + 2], NEVER) for i in range(len(unit) - 1)]
+            pairs = list(map(rank, map(add, unit, unit[1:]), repeat(NEVER)))
             while pairs:
                 best = min(pairs)
                 if best == NEVER:
                     break
                 i = pairs.index(best)
-                both = parts[i] + parts[i + 1]
-                parts[i : i + 2] = [both]
+                both = parts[i] = parts[i] + parts.pop(i + 1)
                 del pairs[i]
                 if i < len(pairs):
                     pairs[i] = rank(both + parts[i + 1], NEVER)
@@ -237,7 +249,7 @@ class PieceModel:
         else:
             parts = self._merged_long(unit)
         try:
-            return tuple([self.id_of[p] for p in parts])
+            return tuple(map(self.id_of.__getitem__, parts))
         except KeyError:  # characters without a piece
             return tuple(chain.from_iterable([[self.id_of[p]] if p in self.id_of else [self.byte_ids[b] for b in p.encode()] for p in parts]))
 
