@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from wayfarer.functions.aggs import round_half_even_1, seq_struct
 from wayfarer.functions.text import split_blank_line
 from wayfarer.schemas import CATEGORIES
+from wayfarer.session import written_once
 
 KEY = ["country", "place"]
 CATALOG_TEXT = ["place", "country", "google_maps_url", "description", "region", "place_type", "blog_source"]
@@ -101,17 +102,21 @@ def _catalog(base: DataFrame, base_order: list[str] | None) -> DataFrame:
     return keep_first(base, base_order) if base_order else base
 
 
-def merge_state(base: DataFrame, state: DataFrame, as_of=None, max_descriptions: int = 5) -> DataFrame:
+def merge_state(
+    base: DataFrame, state: DataFrame, as_of=None, max_descriptions: int = 5, known: DataFrame | None = None
+) -> DataFrame:
     """The catalogue after the rows of ``state`` are merged into ``base`` (one
     row per place): catalogue columns + ``merge_status`` in
     {unchanged, merged, new, new_country}.
 
     Places of a country without a base are summarised: mean scores (one
-    decimal), the first descriptions, the number of rows.
+    decimal), the first descriptions, the number of rows.  ``known``: the
+    distinct countries of ``base``, if the caller has them.
     """
     today = _as_of(as_of)
     base = _catalog(base, None)
-    countries = base.select("country").distinct().withColumn("_known", F.lit(True))
+    known = base.select("country").distinct() if known is None else known
+    countries = known.withColumn("_known", F.lit(True))
     b = base.select(*[F.col(c).alias(f"_b_{c}") if c not in KEY else F.col(c) for c in OUT_COLS])
     # presence flags that do not depend on nullable payload columns
     j = b.withColumn("_in_base", F.lit(True)).join(state.withColumn("_in_new", F.lit(True)), KEY, "full_outer")
@@ -175,7 +180,7 @@ def merge_catalog(
         raise ValueError(f"new_countries: {new_countries}")
     base = _catalog(base, base_order)
     new = _with_catalog_cols(new)
-    known = base.select("country").distinct()
+    known = written_once(base.select("country").distinct(), "countries")  # read several times
     if fuzzy:
         from wayfarer.operators.resolve import resolve_against
 
@@ -184,8 +189,9 @@ def merge_catalog(
         inside = inside.withColumn("place", F.col("_name")).drop("_name")
         new = inside.select(new.columns).unionByName(new.join(known, "country", "left_anti"))
     if new_countries == "summary":
-        return merge_state(base, place_state(new, new_order, max_descriptions), as_of, max_descriptions)
-    merged = merge_state(base, place_state(new.join(known, "country", "left_semi"), new_order, max_descriptions), as_of, max_descriptions)
+        return merge_state(base, place_state(new, new_order, max_descriptions), as_of, max_descriptions, known)
+    state = place_state(new.join(known, "country", "left_semi"), new_order, max_descriptions)
+    merged = merge_state(base, state, as_of, max_descriptions, known)
     today = _as_of(as_of)
     fresh = new.join(known, "country", "left_anti")
     count = F.coalesce(F.col("description_count"), F.lit(1)) if "description_count" in new.columns else F.lit(1)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.session import table
+from wayfarer.session import table, written_once
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -30,7 +30,8 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
-def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def place_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined columns that P is made of, one row per line item."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"
     )
@@ -38,6 +39,21 @@ def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     supp_geo = supp.join(F.broadcast(geo(spark, sf_dir)), supp.s_nationkey == F.col("n_nationkey"))
     j = li.join(part, li.l_partkey == part.p_partkey).join(supp_geo, li.l_suppkey == supp_geo.s_suppkey)
+    return j.select(*li.columns, "p_name", "p_type", "p_brand", "n_name", "r_name")
+
+
+def place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_of_lines(place_lines(spark, sf_dir))
+
+
+def place_rows_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P for queries that read it many times: the joins run once, and their
+    narrow columns are written to the shared folder (names and types repeat,
+    so a row takes a few bytes); what is derived from them is not stored."""
+    return rows_of_lines(written_once(place_lines(spark, sf_dir), "place-lines"))
+
+
+def rows_of_lines(j: DataFrame) -> DataFrame:
     q = F.col("l_quantity").cast("int")
     ok, ln, pk, sk = (F.col(c) for c in ORDER)
 

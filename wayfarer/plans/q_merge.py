@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.operators.merge import merge_catalog, merge_stats
 from wayfarer.operators.summary import place_summary
-from wayfarer.plans.places import ORDER, place_rows
+from wayfarer.plans.places import ORDER, place_rows_once
 from wayfarer.plans.registry import query
 from wayfarer.plans.sqlparts import NL2, SEQ, summary_sql, with_p
 from wayfarer.schemas import CATEGORIES
@@ -22,7 +22,7 @@ HELD_COUNTRY = "NATION_3"
 
 
 def _split(spark, sf_dir):
-    p = place_rows(spark, sf_dir)
+    p = place_rows_once(spark, sf_dir)  # read by base and new rows several times each
     h = F.length("place") + F.length("country")
     in_base = F.col("l_returnflag").isin("R", "A") & (h % 7 != 0) & (F.col("country") != HELD_COUNTRY)
     pbase, pnew = p.where(in_base), p.where(~F.coalesce(in_base, F.lit(False)))
