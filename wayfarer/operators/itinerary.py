@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wayfarer.functions.aggs import round_half_even_1
 from wayfarer.functions.text import strip, xml_escape
 from wayfarer.operators.ordering import segmented_positions
+from wayfarer.session import written_once
 
 # --- fixed values: export formats ---
 DIRECTIONS_BASE = "https://www.google.com/maps/dir/"
@@ -164,11 +165,13 @@ def add_places(it: DataFrame, additions: DataFrame, order_cols: list[str] | None
     """Add (route, place, ...) rows only where the route lacks the place;
     new stops are sequenced after the route's last stop, in ``order_cols``
     order (arrival), else by place.  Of several additions of one place to one
-    route the first stays, as each is checked against what was added before."""
+    route the first stays, as each is checked against what was added before.
+    The additions that get in are written before they are numbered, so that the
+    shuffles that find them are gone when those of the numbering come."""
     order = order_cols or ["place"]
     one = Window.partitionBy(KEY, "place").orderBy(*order)  # the first only: limited before the shuffle
     additions = additions.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
-    new = additions.join(it.select(KEY, "place").distinct(), [KEY, "place"], "left_anti")
+    new = written_once(additions.join(it.select(KEY, "place").distinct(), [KEY, "place"], "left_anti"), "additions")
     last = it.groupBy(KEY).agg(F.max("seq").alias("_last"))
     placed = segmented_positions(new, [KEY], [*order, "place"], "_position").join(last, KEY, "left")
     return placed.withColumn("seq", F.coalesce("_last", F.lit(0)) + F.col("_position")).drop("_last", "_position")
